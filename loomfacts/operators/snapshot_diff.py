@@ -80,36 +80,31 @@ def snapshot_diff(
     steps = ordered_neighbours(snaps, "s", ["o", "snap"], "snap").where("prev is not null or next is not null").select("s", "snap", "prev", "next")
 
     per_series = base.groupBy(F.col(series).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    total, held_series = per_series.agg(F.sum("n"), F.count("n")).first()
-    total = total or 0
+    total = per_series.agg(F.sum("n")).first()[0] or 0
     hot = [r[0] for r in per_series.where(F.col("n") > max(total / HOT_SHARES, 1000)).select("s").collect()]
     average = total / max(1, snaps.count())
     leaf_bits = min(20, max(0, math.ceil(math.log2(max(1.0, average / leaf_rows)))))
 
-    def salted(s: Column, cut: Column, whole: Column) -> Column:
-        return F.when(s.isin(hot), cut).otherwise(whole) if hot else whole
-
-    placed = base.select(
-        F.col(series).alias("s"),
-        salted(F.col(series), _bits(hash_place(F.col(key)), 0, HOT_BITS), F.lit(0).cast("long")).cast("int").alias("salt"),
-        F.col(snapshot).alias("snap"), F.col(key).alias("k"), F.col(version).alias("v"), content_hash(rows, content).alias("c"),
-    ).repartition("s", "salt")
-    held = placed.groupBy("s", "salt", "snap", "k").agg(F.max_by("c", F.struct("v", "c")).alias("c")).withColumn("leaf", _bits(hash_place(F.col("k")), HOT_BITS, leaf_bits).cast("int"))
+    cut = ["s", "salt"] if hot else ["s"]  # a constant column would be folded away, and the partitioning with it
+    placed = base.select(F.col(series).alias("s"), F.col(snapshot).alias("snap"), F.col(key).alias("k"), F.col(version).alias("v"), content_hash(rows, content).alias("c"))
+    pairs_at = steps
+    if hot:
+        placed = placed.withColumn("salt", F.when(F.col("s").isin(hot), _bits(hash_place(F.col("k")), 0, HOT_BITS)).otherwise(F.lit(0)).cast("int"))
+        pairs_at = steps.withColumn("salt", F.explode(F.when(F.col("s").isin(hot), F.sequence(F.lit(0), F.lit((1 << HOT_BITS) - 1))).otherwise(F.array(F.lit(0)))))
+    placed, pairs_at = placed.repartition(*cut), pairs_at.repartition(*cut)
+    held = placed.groupBy(*cut, "snap", "k").agg(F.max_by("c", F.struct("v", "c")).alias("c")).withColumn("leaf", _bits(hash_place(F.col("k")), HOT_BITS, leaf_bits).cast("int") if leaf_bits else F.shiftright(F.hash("k"), 31) * 0)
     digests = [F.sum(F.xxhash64("k", "c", F.lit(i)).bitwiseAND(F.lit(_MASK))).alias(f"d{i}") for i in (1, 2)]
-    leaves = held.groupBy("s", "salt", "snap", "leaf").agg(*digests, F.count(F.lit(1)).alias("n"))
-    pairs_at = steps.withColumn("salt", F.explode(salted(F.col("s"), F.sequence(F.lit(0), F.lit((1 << HOT_BITS) - 1)), F.array(F.lit(0))))).repartition("s", "salt")
+    leaves = held.groupBy(*cut, "snap", "leaf").agg(*digests, F.count(F.lit(1)).alias("n"))
 
     # A snapshot is the later one of the pair named by itself, and the earlier one of the pair named by its successor.
     roles = F.explode(F.array(F.struct(F.when(F.col("prev").isNotNull(), F.col("snap")).alias("pair"), F.col("prev").alias("before"), F.lit(1).alias("sign")), F.struct(F.col("next").alias("pair"), F.col("snap").alias("before"), F.lit(-1).alias("sign"))))
-    signed = leaves.join(pairs_at, ["s", "salt", "snap"]).select("*", roles.alias("r")).where("r.pair is not null")
-    tree = signed.groupBy("s", "salt", "r.pair", "r.before", "leaf").agg(*[F.sum(F.col(d) * F.col("r.sign")).alias(d) for d in ("d1", "d2", "n")])
-    for level in range(0, leaf_bits + FAN_BITS, FAN_BITS):  # top down: only children of differing nodes go on
-        if level >= leaf_bits:
-            break
-        node = Window.partitionBy("s", "salt", "pair", F.shiftright("leaf", leaf_bits - level))
+    signed = leaves.join(pairs_at, [*cut, "snap"]).select("*", roles.alias("r")).where("r.pair is not null")
+    tree = signed.groupBy(*cut, "r.pair", "r.before", "leaf").agg(*[F.sum(F.col(d) * F.col("r.sign")).alias(d) for d in ("d1", "d2", "n")])
+    for level in range(0, leaf_bits, FAN_BITS):  # top down: only children of differing nodes go on
+        node = Window.partitionBy(*cut, "pair", F.shiftright("leaf", leaf_bits - level))
         tree = tree.select("*", *[F.sum(d).over(node).alias(f"up_{d}") for d in ("d1", "d2", "n")]).where("up_d1 != 0 or up_d2 != 0 or up_n != 0").drop("up_d1", "up_d2", "up_n")
-    differing = tree.where("d1 != 0 or d2 != 0 or n != 0").select("s", "salt", "pair", "before", "leaf")
-    sides = differing.select("s", "salt", "leaf", "pair", "before", F.explode(F.array(F.struct(F.col("pair").alias("snap"), F.lit(True).alias("later")), F.struct(F.col("before").alias("snap"), F.lit(False).alias("later")))).alias("x")).select("s", "salt", "leaf", "pair", "before", "x.snap", "x.later")
-    both = held.join(sides, ["s", "salt", "snap", "leaf"]).groupBy("s", "salt", "pair", "before", "k").agg(F.max(F.when(F.col("later"), F.col("c"))).alias("new"), F.max(F.when(~F.col("later"), F.col("c"))).alias("old"))
+    differing = tree.where("d1 != 0 or d2 != 0 or n != 0")
+    sides = differing.select(*cut, "leaf", "pair", "before", F.explode(F.array(F.struct(F.col("pair").alias("snap"), F.lit(True).alias("later")), F.struct(F.col("before").alias("snap"), F.lit(False).alias("later")))).alias("x")).select(*cut, "leaf", "pair", "before", "x.snap", "x.later")
+    both = held.join(sides, [*cut, "snap", "leaf"]).groupBy(*cut, "pair", "before", "k").agg(F.max(F.when(F.col("later"), F.col("c"))).alias("new"), F.max(F.when(~F.col("later"), F.col("c"))).alias("old"))
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
     return both.select(F.col("s").alias(series), F.col("before").alias(f"prev_{snapshot}"), F.col("pair").alias(snapshot), F.col("k").alias(key), change.alias("change")).where("change is not null")
