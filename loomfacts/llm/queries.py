@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .handwritten import not_handwritten
 from .parse_check import failing_files, failure_rates
 
 
@@ -20,5 +21,13 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failure_rates(table(spark, sf_dir, "source_files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_handwritten(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "repositories")).select("id")
+
+
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_handwritten(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "repositories"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates}
 SQL: dict[str, str] = {}
