@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .handwritten import not_handwritten
 from .parse_check import failing_files, failure_rates
+from .residue import repeated_pages, residue_documents
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +30,21 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "repositories"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_repeated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_pages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates,
+    "p2_found": p2_found, "p2_reasons": p2_reasons,
+    "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_repeated_pages": p8_repeated_pages,
+}
 SQL: dict[str, str] = {}
