@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.quantiles import merge_sketches, quantiles, sketch
 from ..operators.snapshot_diff import snapshot_diff
 from ..operators.tree_aggregate import heavy_keys, per_key_results
 from ..session import table
@@ -21,7 +23,26 @@ def p4_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_key_results(table(spark, sf_dir, "report_diagnostics"), ["rule_id", "file"]).withColumnsRenamed({"group_count": "series_count", "latest": "latest_ingest"})
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_per_key": p4_per_key}
+MEASURES = ("cold_wall_clock_ms", "warm_wall_clock_ms", "peak_rss_bytes")
+PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.99)
+
+
+def daily_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state for each suite, day of measured_at and cost; a run that was delivered twice counts once."""
+    runs = table(spark, sf_dir, "scale_runs").select("run_id", "suite_id", F.to_date("measured_at").alias("day"), *MEASURES).dropDuplicates(["run_id"]).drop("run_id")
+    return sketch(runs, ["suite_id", "day"], MEASURES, chunks=int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of all days, combined from the states of the days."""
+    return quantiles(merge_sketches(daily_states(spark, sf_dir), ["suite_id", "measure"]), ["suite_id", "measure"], PROBABILITIES)
+
+
+def p5_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles(daily_states(spark, sf_dir), ["suite_id", "day", "measure"], PROBABILITIES)
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_per_key": p4_per_key, "p5_percentiles": p5_percentiles, "p5_daily": p5_daily}
 
 SQL = {
     "p3_found": """
