@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .encode import encode, token_counts
 from .handwritten import not_handwritten
+from .mix import mix
 from .parse_check import failing_files, failure_rates
 from .residue import repeated_pages, residue_documents
 
@@ -30,6 +32,22 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_handwritten(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "repositories"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def p6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -45,6 +63,8 @@ def p8_repeated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates,
     "p2_found": p2_found, "p2_reasons": p2_reasons,
+    "p6_ids": p6_ids, "p6_token_counts": p6_token_counts,
+    "p7_mix": p7_mix, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_repeated_pages": p8_repeated_pages,
 }
 SQL: dict[str, str] = {}
