@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core_problems
+from . import core_problems, source_queries
 
-_MODULES = (core_problems,)
+_MODULES = (core_problems, source_queries)
 
 
 def queries() -> dict:
