@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core_problems, source_queries
+from . import core_problems, report_queries, source_queries
 
-_MODULES = (core_problems, source_queries)
+_MODULES = (core_problems, source_queries, report_queries)
 
 
 def queries() -> dict:
