@@ -117,9 +117,12 @@ _PAREN_WORDS = frozenset(["if", "while", "for", "with"])
 _OBJECT_BEFORE = frozenset("( [ , = return ? : += -= && || ?? ... typeof new in of throw case !== === == != + - * / ! default TPLH TPLM J{ => await yield".split()) - {"=>", ":"}
 
 
-def lex_js(src: str, jsx: bool) -> tuple[list[str], list[str], set[int], list[int], dict[int, int]]:
+def lex_js(src: str, jsx: bool, fast: bool = False) -> tuple[list[str], list[str], set[int], list[int], dict[int, int]]:
     """Kinds, texts, the tokens after a line end, positions and, for ( and [ and {, the index of the partner.
 
+    With ``fast`` lines that read the same wherever they stand come from a table of lines read before, and positions are
+    left out.
+
     The lexer keeps a stack of what is open, which tells templates, JSX tags and children, and whether a slash begins a
     regular expression.
     """
@@ -141,6 +144,8 @@ def lex_js(src: str, jsx: bool) -> tuple[list[str], list[str], set[int], list[in
     match = _JS.match
     nl, last = False, ""
     operand_end = False  # whether the last token ends an operand
+    known = _JS_LINES[jsx]
+    fresh = fast  # at the beginning of a line
 
     def add(kind: str, text: str, pos: int) -> None:
         nonlocal nl, last
@@ -266,6 +271,37 @@ def lex_js(src: str, jsx: bool) -> tuple[list[str], list[str], set[int], list[in
                 add("JTXT", "", at)
                 at = m.end()
             continue
+        if fresh:
+            fresh = False
+            eol = src.find("\n", at)
+            if eol < 0:
+                eol = n
+            line = src[at : eol - 1 if src[eol - 1 : eol] == "\r" else eol]
+            t = known.get(line, 0)
+            if t == 0:
+                t = _read_line(line, "tsx" if jsx else "typescript")
+            if t is not None and not (t[1] and t[1][0] in words and (last == "." or last == "?.")) and len(t[4]) <= len(stack) and all(stack[-1 - i][0] == o for i, o in enumerate(t[4])):
+                k, x, brackets, end, _ = t
+                if k:
+                    base = len(kinds)
+                    if nl:
+                        newline.add(base)
+                        nl = False
+                    flag = None
+                    for i, s, opens in brackets:
+                        if s == "(" or s == "[":
+                            stack.append((s, base + i, (last in _PAREN_WORDS or last == "ID" and base > 1 and texts[-1] == "await" and kinds[-2] == "for") if opens is None else opens))
+                        elif s == "{":
+                            stack.append((s, base + i, last in _OBJECT_BEFORE if opens is None else opens))
+                        else:
+                            _, j, flag = stack.pop()
+                            partner[j] = base + i
+                    kinds += k
+                    texts += x
+                    operand_end = end if end is not None else (bool(flag) if k[-1] == "}" else not flag) if k[-1] in (")", "]", "}") else last in _OPERAND_ENDS and base not in newline
+                    last = k[-1]
+                at = eol
+                continue
         m = match(src, at)
         if m is None:
             while src[at] in " \t":
@@ -275,6 +311,7 @@ def lex_js(src: str, jsx: bool) -> tuple[list[str], list[str], set[int], list[in
         if g == "nl":
             nl = True
             at = m.end()
+            fresh = fast and (not stack or stack[-1][0] in "([{")
             continue
         if g == "sp":
             at = m.end()
@@ -373,3 +410,268 @@ def lex_js(src: str, jsx: bool) -> tuple[list[str], list[str], set[int], list[in
     for _ in range(6):
         add("EOF", "", n)
     return kinds, texts, newline, starts, partner
+
+
+#: Lines whose tokens are kept; beyond it the table starts anew.
+KEEP_LINES = 200_000
+
+
+class _Lines(dict):
+    """Tokens of whole lines. Code repeats its lines, so most of a text is put together from lines read before."""
+
+    def keep(self, line: str, tokens: tuple | None) -> tuple | None:
+        if len(self) >= KEEP_LINES:
+            self.clear()
+        self[line] = tokens
+        return tokens
+
+
+#: Comments that begin a line. Cut out before lines are read alone; a text with a string or comment left open on an earlier line is not read this way at all.
+_COMMENT_LINES = re.compile(r"(?m)^[ \t]*/\*(?:[^*]|\*(?!/))*\*/")
+_GO_LINES = _Lines()
+_JS_LINES = {False: _Lines(), True: _Lines()}
+
+
+#: Names that a grammar may ask for by their text.
+_TOLD_APART = "as async await get set of let static from type interface namespace module declare abstract readonly public private protected override implements keyof unique infer is asserts satisfies enum accessor global require out yield assert target meta constructor".split()
+
+
+def _names(words: frozenset[str], not_after: str) -> re.Pattern:
+    return re.compile(rf"(?<![\w$\\'#{not_after}])(?!(?:{'|'.join(sorted(words))})(?![\w$]))(?:[^\W\d]|\$)[\w$]*")
+
+
+_GO_NAME = _names(GO_WORDS, "")
+_JS_NAME = {False: _names(JS_WORDS | set(_TOLD_APART), ""), True: _names(JS_WORDS | set(_TOLD_APART), "</")}
+_PLAIN_STRING = re.compile(r'"[^"\\\n]*"')
+_PLAIN_NUMBER = re.compile(r"(?<![\w.$\\])[1-9]\d*(?![\w.])")
+
+
+def shape(src: str, language: str) -> str:
+    """The text with plain names, strings and numbers made equal, so that lines of one form become one line.
+
+    It parses if and only if the text does, but for strings and names inside regular expressions, which are left to
+    the second look that every failure gets. Names of tags are kept, since they must match.
+    """
+    names = _GO_NAME if language == "go" else _JS_NAME[language in ("tsx", "jsx")]
+    return _PLAIN_NUMBER.sub("1", names.sub("a", _PLAIN_STRING.sub('""', src)))
+
+
+def _read_line(line: str, language: str) -> tuple | None:
+    """Reads a line by its shape, which far fewer lines have, and keeps the result for the line itself too."""
+    known = _GO_LINES if language == "go" else _JS_LINES[language == "tsx"]
+    form = shape(line, language)
+    t = known.get(form, 0)
+    if t == 0:
+        if language == "go":
+            try:
+                k, x, *_ = lex_go(form + "\n")
+                t = (k[:-6], x[:-6])
+            except LexError:
+                t = None
+        else:
+            t = _js_line(form, language == "tsx")
+        known.keep(form, t)
+    return known.keep(line, t)
+
+
+def fast_go(src: str) -> tuple[list[str], list[str], set[int], dict[int, int]] | None:
+    """The tokens of lex_go without positions, put together from lines; None if a line cannot be read alone."""
+    kinds: list[str] = []
+    texts: list[str] = []
+    known = _GO_LINES
+    if src[:1] == "\ufeff":
+        src = src[1:]
+    if "/*" in src:
+        src = _COMMENT_LINES.sub("\n", src)
+    for line in src.split("\n"):
+        line = line.strip(" \t\r")
+        if line:
+            t = known.get(line, 0)
+            if t == 0:
+                t = _read_line(line, "go")
+            if t is None:
+                return None
+            kinds += t[0]
+            texts += t[1]
+    kinds += ["EOF"] * 6
+    texts += [""] * 6
+    return kinds, texts, set(), {}
+
+
+def fast_js(src: str, jsx: bool) -> tuple[list[str], list[str], set[int], dict[int, int]] | None:
+    """The tokens of lex_js without positions, put together from lines; None if a line depends on those before it."""
+    kinds: list[str] = []
+    texts: list[str] = []
+    newline: set[int] = set()
+    partner: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    known, language = _JS_LINES[jsx], "tsx" if jsx else "typescript"
+    if src[:1] == "\ufeff":
+        src = src[1:]
+    if "/*" in src:
+        src = _COMMENT_LINES.sub("\n", src)
+    lines = src.split("\n")
+    if lines[0][:2] == "#!":
+        lines[0] = ""
+    for line in lines:
+        line = line.strip(" \t\r")
+        if not line:
+            continue
+        t = known.get(line, 0)
+        if t == 0:
+            t = _read_line(line, language)
+        if t is None:
+            return None
+        k, x, brackets, _, _ = t
+        if not k:
+            continue
+        base = len(kinds)
+        newline.add(base)
+        if base and kinds[-1] in (".", "?.") and x[0] in JS_WORDS:
+            return None
+        for i, s, _ in brackets:
+            if s in "([{":
+                stack.append((s, base + i))
+            elif not stack or stack[-1][0] != _OPENS[s]:
+                return None
+            else:
+                partner[stack.pop()[1]] = base + i
+        kinds += k
+        texts += x
+    newline.add(len(kinds))
+    kinds += ["EOF"] * 6
+    texts += [""] * 6
+    return kinds, texts, newline, partner
+
+
+#: Names that a grammar may ask for by their text.
+_TOLD_APART = "as async await get set of let static from type interface namespace module declare abstract readonly public private protected override implements keyof unique infer is asserts satisfies enum accessor global require out yield assert target meta constructor".split()
+
+
+def _names(words: frozenset[str], not_after: str) -> re.Pattern:
+    return re.compile(rf"(?<![\w$\\'#{not_after}])(?!(?:{'|'.join(sorted(words))})(?![\w$]))(?:[^\W\d]|\$)[\w$]*")
+
+
+_GO_NAME = _names(GO_WORDS, "")
+_JS_NAME = {False: _names(JS_WORDS | set(_TOLD_APART), ""), True: _names(JS_WORDS | set(_TOLD_APART), "</")}
+_PLAIN_STRING = re.compile(r'"[^"\\\n]*"')
+_PLAIN_NUMBER = re.compile(r"(?<![\w.$\\])[1-9]\d*(?![\w.])")
+
+
+def shape(src: str, language: str) -> str:
+    """The text with plain names, strings and numbers made equal, so that lines of one form become one line.
+
+    It parses if and only if the text does, but for strings and names inside regular expressions, which are left to
+    the second look that every failure gets. Names of tags are kept, since they must match.
+    """
+    names = _GO_NAME if language == "go" else _JS_NAME[language in ("tsx", "jsx")]
+    return _PLAIN_NUMBER.sub("1", names.sub("a", _PLAIN_STRING.sub('""', src)))
+
+
+def fast_go(src: str) -> tuple[list[str], list[str], set[int], dict[int, int]] | None:
+    """The tokens of lex_go without positions, put together from lines; None if a line cannot be read alone."""
+    kinds: list[str] = []
+    texts: list[str] = []
+    known = _GO_LINES
+    if src[:1] == "\ufeff":
+        src = src[1:]
+    if "/*" in src:
+        src = _COMMENT_LINES.sub("\n", src)
+    for line in src.split("\n"):
+        t = known.get(line, 0)
+        if t == 0:
+            try:
+                k, x, *_ = lex_go(line + "\n")
+                t = known.keep(line, (k[:-6], x[:-6]))
+            except LexError:
+                t = known.keep(line, None)
+        if t is None:
+            return None
+        kinds += t[0]
+        texts += t[1]
+    kinds += ["EOF"] * 6
+    texts += [""] * 6
+    return kinds, texts, set(), {}
+
+
+def _js_line(line: str, jsx: bool) -> tuple | None:
+    """Kinds, texts, brackets and operand end of a line that reads the same wherever it stands.
+
+    A bracket has its index, its text and whether it opens a control head or an object, None where the line before tells.
+    """
+    if "\r" in line or "\u2028" in line or "\u2029" in line or (jsx and "<" in line):
+        return None
+    kinds: list[str] = []
+    texts: list[str] = []
+    brackets: list[tuple[int, str, bool | None]] = []
+    local: list[tuple[str, bool]] = []
+    closers: list[str] = []  # openings of earlier lines that are closed here
+    at, last, end, n = 0, "", None, len(line)  # end: whether the last token ends an operand, None where that depends on other lines
+    while at < n:
+        m = _JS.match(line, at)
+        if m is None:
+            return None
+        g = m.lastgroup
+        begin, at = m.start(g), m.end()
+        if g in ("sp", "lc", "nl", "bc"):
+            continue
+        s = m[g]
+        if g == "word":
+            if s in JS_WORDS and last != "." and last != "?.":
+                k, end = s, s in _OPERAND_ENDS
+            else:
+                k, end = ("PRIV" if s[0] == "#" else "ID"), s not in ("await", "yield", "of") or last in (".", "?.")
+        elif g in ("STR", "NUM"):
+            k, end = g, True
+        elif g == "tpl" or s == "}" and local and local[-1][0] == "`":
+            if g != "tpl":
+                local.pop()
+            e = _TPL.match(line, at).end()
+            if e >= n:
+                return None
+            if line[e] == "`":
+                k, end, at = ("TPL" if g == "tpl" else "TPLT"), True, e + 1
+            else:
+                k, end, at = ("TPLH" if g == "tpl" else "TPLM"), False, e + 2
+                local.append(("`", False))
+            s = ""
+        elif s[0] == "/" and end is not True:
+            r = _REGEX.match(line, begin) if end is False else None
+            if not r:
+                return None
+            k, s, end, at = "REGEX", "", True, r.end()
+        else:
+            k = s
+            if s in ("(", "["):
+                local.append((s, last in _PAREN_WORDS or last == "ID" and len(kinds) > 1 and texts[-1] == "await" and kinds[-2] == "for"))
+                brackets.append((len(kinds), s, local[-1][1] if kinds else None))
+                end = False
+            elif s == "{":
+                local.append((s, last in _OBJECT_BEFORE))
+                brackets.append((len(kinds), s, local[-1][1] if kinds else None))
+                end = False
+            elif s in (")", "]", "}"):
+                brackets.append((len(kinds), s, None))
+                if not local:
+                    closers.append(_OPENS[s])
+                    end = True if s == "]" else None
+                else:
+                    opened, flag = local.pop()
+                    if opened != _OPENS[s]:
+                        return None
+                    end = flag if s == "}" else not flag
+                    if opened_first := (not local and brackets[0][2] is None and brackets[0][0] == 0 and brackets[0][1] == opened):
+                        end = None if opened_first else end
+            elif s == "++" or s == "--":
+                end = last in _OPERAND_ENDS if kinds else None
+            else:
+                end = False
+        kinds.append(k)
+        texts.append(s)
+        last = k
+    if any(o == "`" for o, _ in local):
+        return None
+    return kinds, texts, brackets, end, closers
+
+
+_OPENS = {")": "(", "]": "[", "}": "{"}

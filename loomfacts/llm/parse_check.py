@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import input_chunks
 from .grammars import parser
-from .lexers import LexError, lex_go, lex_js
+from .lexers import LexError, fast_go, fast_js, lex_go, lex_js
 
 # Extensions of the languages.
 EXTENSIONS = {"go": "go", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx"}
@@ -43,8 +44,20 @@ def parses(source: str, language: str) -> bool:
     return parser(language, False)(kinds, texts, newlines, partner)[0] >= 0
 
 
-def check(source: str, language: str) -> Failure | None:
-    """None if ``source`` is a text of ``language`` from its first to its last token, else its furthest failure."""
+def check(source: str, language: str, explain: bool = True) -> Failure | None:
+    """None if ``source`` is a text of ``language`` from its first to its last token, else its furthest failure.
+
+    Without ``explain`` place and cause of a failure are left open, which saves a second parse.
+    """
+    try:
+        jsx = language in ("tsx", "jsx")
+        quick = fast_go(source) if language == "go" else fast_js(source, jsx) or lex_js(source, jsx, fast=True)
+        if quick and parser(language, False)(*quick[:3], quick[-1])[0] >= 0:
+            return None
+    except LexError:
+        pass
+    if not explain:
+        return None if parses(source, language) else Failure(0, "", "")
     try:
         kinds, texts, newlines, starts, partner = _lex(source, language)
     except LexError as e:
@@ -74,6 +87,19 @@ def _cause(source: str, language: str, at: int, plain: str) -> str:
     return "other_language_or_form" if not source[:at].strip() else plain.replace(" ", "_")
 
 
+def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sys.setrecursionlimit(200_000)
+    gc.set_threshold(200_000, 20, 100)
+    for b in batches:
+        ok = []
+        for source, language in zip(b["source"], b["language"]):
+            try:
+                ok.append(check(source, language, explain=False) is None)
+            except RecursionError:
+                ok.append(False)
+        yield pd.DataFrame({"id": b["id"], "repo_id": b["repo_id"], "language": b["language"], "ok": ok})
+
+
 def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sys.setrecursionlimit(200_000)
     for b in batches:
@@ -104,25 +130,27 @@ def effective_language() -> F.Column:
     return F.coalesce(F.lower(F.trim("language")), by_path)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, explain: bool = True) -> DataFrame:
     """One row for each row of ``files`` whose language has a grammar: id, repo_id, language, ok, fail_at, fail_line, fail_found, cause.
 
     A file is ok if a packrat parse by the grammar of its language consumes it whole; else the furthest failure (offset
     in code points, line from 1, kind of the token found) and its cause are given. Null sources and other languages give
     no row; an empty source is a valid JavaScript or TypeScript text and no valid Go text; repeated rows give repeated
-    rows. Extra columns are ignored. Each row is parsed where it is read: nothing is gathered by key.
+    rows. Extra columns are ignored. Without ``explain`` the columns after ok are left out. Each row is parsed where it is read: nothing is gathered by key.
     """
     todo = files.select("id", "repo_id", effective_language().alias("language"), "source").where(F.col("source").isNotNull() & F.col("language").isin(*LANGUAGES))
-    schema = "id long, repo_id string, language string, ok boolean, fail_at long, fail_line long, fail_found string, cause string"
-    return spread(todo).mapInPandas(_checked, schema)
+    schema = "id long, repo_id string, language string, ok boolean"
+    if not explain:
+        return spread(todo).mapInPandas(_verdicts, schema)
+    return spread(todo).mapInPandas(_checked, f"{schema}, fail_at long, fail_line long, fail_found string, cause string")
 
 
-def failing_files(files: DataFrame) -> DataFrame:
+def failing_files(files: DataFrame, explain: bool = True) -> DataFrame:
     """One row for each id that does not parse."""
-    return parse_files(files).where(~F.col("ok")).dropDuplicates(["id"])
+    return parse_files(files, explain).where(~F.col("ok")).dropDuplicates(["id"])
 
 
 def failure_rates(files: DataFrame) -> DataFrame:
     """Rates for each repository and language: files, failed, failure_rate; each id counts once."""
-    once = parse_files(files).groupBy("id").agg(F.first("repo_id").alias("repo_id"), F.first("language").alias("language"), F.bool_and("ok").alias("ok"))
+    once = parse_files(files, explain=False).groupBy("id").agg(F.first("repo_id").alias("repo_id"), F.first("language").alias("language"), F.bool_and("ok").alias("ok"))
     return once.groupBy("repo_id", "language").agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.avg((~F.col("ok")).cast("double")), 6).alias("failure_rate"))

@@ -136,7 +136,7 @@ def compile_grammar(text: str, start: str, classes: dict[str, frozenset[str]], b
             if a != nullable[n] or b != first[n]:
                 nullable[n], first[n], changed = a, b, True
 
-    lines: list[str] = ["def parse(K, X, N, M):", " far = 0"]
+    lines: list[str] = []
     consts: dict[str, frozenset[str]] = {}
     count = 0
 
@@ -278,22 +278,28 @@ def compile_grammar(text: str, start: str, classes: dict[str, frozenset[str]], b
         else:
             raise ValueError(kind)
 
-    for n in rules:
-        if n in memo:
-            put(1, f"m_{n} = {{}}")
+    # Tokens and memo tables are globals of the compiled module: no functions are made, and no cycles left, by a parse.
     for n, e in rules.items():
-        put(1, f"def r_{n}(i):")
+        put(0, f"def r_{n}(i):")
         if track:
-            put(2, "nonlocal far")
+            put(1, "global far")
         if n in memo:
-            put(2, f"o = m_{n}.get(i)")
-            put(2, "if o is not None: return o")
-        gen(e, "i", "o", 2)
+            put(1, f"o = m_{n}.get(i)")
+            put(1, "if o is not None: return o")
+        gen(e, "i", "o", 1)
         if n in memo:
-            put(2, f"m_{n}[i] = o")
-        put(2, "return o")
-    put(1, f"e = r_{start}(0)")
-    put(1, "return e, far")
+            put(1, f"m_{n}[i] = o")
+        put(1, "return o")
+    for n in memo:
+        put(0, f"m_{n} = {{}}")
+    put(0, "far = 0")
+    put(0, "def parse(kinds, texts, newlines, match):")
+    put(1, "global K, X, N, M, far")
+    put(1, "K, X, N, M, far = kinds, texts, newlines, match, 0")
+    put(1, "try:")
+    put(2, f"return r_{start}(0), far")
+    put(1, "finally:")
+    put(2, "; ".join(f"m_{n}.clear()" for n in memo) or "pass")
     scope: dict = dict(consts)
     exec(compile("\n".join(lines), f"<grammar {start}>", "exec"), scope)  # noqa: S102 - code made from the grammar above
     return scope["parse"]

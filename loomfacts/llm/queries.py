@@ -13,7 +13,7 @@ from .residue import repeated_pages, residue_documents
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return failing_files(table(spark, sf_dir, "source_files")).select("id")
+    return failing_files(table(spark, sf_dir, "source_files"), explain=False).select("id")
 
 
 def p1_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
