@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.predicates import any_glob, in_scope
 from ..functions.text import contains_any_folded, import_package_name
 from ..operators import extract as X
+from ..operators import policy as P
+from ..rules import RuleOptions, rule, run_rules
 from ..session import table
+from ..views import FactViews
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +53,44 @@ def _missing_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return go.join(X.related_tests(files).select("id").distinct(), "id", "left_anti").select("id", "relative_path")
 
 
+def _views(spark: SparkSession, sf_dir: str) -> FactViews:
+    return FactViews(table(spark, sf_dir, "source_files"))
+
+
+def _reference_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _views(spark, sf_dir).references.all().groupBy("status").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("callee").alias("names"))
+
+
+def _call_events_missing_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _views(spark, sf_dir).missing_guard(P.GuardQuery(P.EventPattern.call("info"), P.GuardPattern.call_any("push", "filter")))
+
+
+def _call_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _views(spark, sf_dir).forbidden_flow(P.FlowQuery(P.EventPattern.call("push"), P.SinkPattern.logger(), P.BarrierPattern.call_any("report"), 5))
+
+
+def _long_files(views: FactViews, options: RuleOptions) -> DataFrame:
+    found = views.file_metrics.over_line_count(options.max or 120).join(views.source_files.all().select("id", "relative_path"), "id")
+    return found.select(F.col("relative_path").alias("file"), F.lit(1).alias("line"), F.format_string("file has %d lines", "line_count").alias("message"))
+
+
+def _denied_literals(views: FactViews, options: RuleOptions) -> DataFrame:
+    found = views.string_literals.all().where(contains_any_folded(F.col("value"), list(options.deny) or ["budget exceeded"])).join(views.source_files.all().select("id", "relative_path"), "id")
+    return found.select(F.col("relative_path").alias("file"), F.col("line_no").alias("line"), F.concat(F.lit("literal "), "value").alias("message"))
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule("metrics/long-file", ["file_metrics"])(_long_files)
+    rule("literals/denied", ["string_literals"])(_denied_literals)
+    return run_rules(spark, _views(spark, sf_dir)).groupBy("rule_id", "file").agg(F.count(F.lit(1)).alias("diagnostics"), F.min("text_range.start_line").alias("first_line"))
+
+
 QUERIES: dict[str, Query] = {
+    "src_symbols_by_kind": lambda s, p: _views(s, p).symbols.all().groupBy("kind", "is_exported").agg(F.count(F.lit(1)).alias("symbols"), F.count_distinct("name").alias("names")),
+    "src_reference_status": _reference_status,
+    "src_call_events_missing_guard": _call_events_missing_guard,
+    "src_call_flow": _call_flow,
+    "src_rules": _rules,
     "src_files": _on_files(X.source_files),
     "src_file_metrics": _on_files(X.file_metrics),
     "src_over_line_count": _on_files(X.file_metrics, lambda d: d.where("line_count > 120").select("id", "line_count")),
@@ -138,7 +178,28 @@ _PKG = "CASE WHEN path LIKE '@%' THEN regexp_extract(path, '^(@[^/]+/[^/]+|@[^/]
 _CALLS = f"""k0 AS (SELECT DISTINCT id, line_no, regexp_extract_all(line, {_q(X.CALL)}, 1) AS a FROM l WHERE language <> 'unknown' AND NOT {_has(X.GO_FUNC + "|" + X.TS_FUNC)} AND NOT {_COMMENT}),
 k AS (SELECT id, line_no, unnest(a) AS callee FROM k0)"""
 
+_TYPES = f"""ty AS (SELECT DISTINCT id, {_get(X.GO_TYPE, 1)} AS name, line_no FROM l WHERE language = 'go' AND {_has(X.GO_TYPE)}),
+cl AS (SELECT DISTINCT id, {_get(X.TS_CLASS, 1)} AS name, line_no, line LIKE 'export %' AS is_exported FROM l WHERE {_SCRIPT} AND {_has(X.TS_CLASS)}),
+sy AS (SELECT id, name, 'function' AS kind, is_exported FROM fn UNION ALL SELECT id, name, 'type', regexp_matches(name, '^[A-Z]') FROM ty UNION ALL SELECT id, name, 'class', is_exported FROM cl)"""
+_CALL_ROWS = f"""k0 AS (SELECT DISTINCT id, line_no, regexp_extract_all(line, {_q(X.CALL)}, 1) AS a FROM l WHERE language <> 'unknown' AND NOT {_has(X.GO_FUNC + "|" + X.TS_FUNC)} AND NOT {_COMMENT}),
+k1 AS (SELECT id, line_no, generate_subscripts(a, 1) - 1 AS position, unnest(a) AS callee FROM k0), k AS (SELECT * FROM k1 WHERE callee NOT IN ({_NOT})),
+ev AS (SELECT id AS scope, line_no * 1000 + position AS position, callee AS name FROM k)"""
+
+
+def _named(*names: str) -> str:
+    return "(" + " OR ".join(f"name = '{n}' OR list_last(string_split(name, '.')) = '{n}'" for n in names) + ")"
+
+
 SQL = {
+    "src_symbols_by_kind": f"WITH {_LINES}, {_FUNCTIONS}, {_TYPES} SELECT kind, is_exported, count(*) AS symbols, count(DISTINCT name) AS names FROM sy GROUP BY 1, 2",
+    "src_reference_status": f"""WITH {_LINES}, {_FUNCTIONS}, {_TYPES}, {_CALL_ROWS}, kn AS (SELECT name, count(*) AS c FROM sy GROUP BY 1)
+        SELECT CASE WHEN c IS NULL THEN 'unresolved' WHEN c > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, count(*) AS calls, count(DISTINCT callee) AS names FROM k LEFT JOIN kn ON kn.name = callee GROUP BY 1""",
+    "src_call_events_missing_guard": f"WITH {_LINES}, {_CALL_ROWS}, g AS (SELECT scope, min(position) AS p FROM ev WHERE {_named('push', 'filter')} GROUP BY 1) SELECT ev.* FROM ev LEFT JOIN g USING (scope) WHERE {_named('info')} AND (p IS NULL OR p >= position)",
+    "src_call_flow": f"""WITH {_LINES}, {_CALL_ROWS}, o AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY position) AS n FROM ev), a AS (SELECT * FROM o WHERE {_named('push')}), z AS (SELECT * FROM o WHERE name = 'log' OR regexp_matches(lower(name), '\\.(log|info|warn|error)$')), b AS (SELECT * FROM o WHERE {_named('report')})
+        SELECT a.scope, a.position AS source, z.position AS sink, z.n - a.n AS steps FROM a JOIN z ON a.scope = z.scope AND z.n > a.n AND z.n <= a.n + 5 WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.scope = a.scope AND b.n > a.n AND b.n < z.n)""",
+    "src_rules": f"""WITH {_LINES}, {_METRICS}, {_LITERALS}, p AS (SELECT DISTINCT id, relative_path FROM f), d AS (SELECT DISTINCT 'metrics/long-file' AS rule_id, relative_path AS file, 1 AS line, 'file has ' || line_count || ' lines' AS message FROM m JOIN p USING (id) WHERE line_count > 120
+        UNION SELECT 'literals/denied', relative_path, line_no, 'literal ' || value FROM s JOIN p USING (id) WHERE contains(translate(value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'budget exceeded'))
+        SELECT rule_id, file, count(*) AS diagnostics, min(line) AS first_line FROM d GROUP BY 1, 2""",
     "src_files": f"WITH {_FILES} SELECT DISTINCT id, repo_id, relative_path, language, directory, content_hash FROM f",
     "src_file_metrics": f"WITH {_FILES}, {_METRICS} SELECT * FROM m",
     "src_over_line_count": f"WITH {_FILES}, {_METRICS} SELECT id, line_count FROM m WHERE line_count > 120",
