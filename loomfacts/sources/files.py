@@ -71,7 +71,7 @@ def parse_name_status(df: DataFrame, column: str) -> DataFrame:
 
 def parse_hunks(df: DataFrame, column: str) -> DataFrame:
     """path, lo, hi of the new side of each hunk of unified diffs; a hunk of no lines is left out, a missing length is 1."""
-    lines = df.select(F.monotonically_increasing_id().alias("d"), F.posexplode(F.split(column, "\n")).alias("n", "line"))
+    lines = df.select(F.monotonically_increasing_id().alias("d"), F.col(column).alias("t")).select("d", F.posexplode(F.split("t", "\n")).alias("n", "line"))
     path = F.when(F.col("line").startswith("+++ "), F.regexp_replace("line", r"^\+\+\+ (?:b/)?", ""))
     w = Window.partitionBy("d").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     pattern = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
@@ -82,7 +82,7 @@ def parse_hunks(df: DataFrame, column: str) -> DataFrame:
 
 def parse_go_mod(df: DataFrame, column: str, key: str) -> DataFrame:
     """Directives of go.mod texts: key, directive (module, go, require, replace, exclude), path, version, target, indirect."""
-    lines = df.select(key, F.posexplode(F.split(column, "\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
+    lines = df.select(key, F.posexplode(F.split(column, "\r?\n")).alias("n", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
     head = F.regexp_extract("line", r"^(module|go|require|replace|exclude|retract|toolchain)\b", 1)
     w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("line").rlike(r"^\w+ \($"), head).when(F.col("line") == ")", F.lit("-"))
