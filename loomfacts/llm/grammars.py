@@ -91,7 +91,7 @@ lexical <- var / 'const' bindings SEMI
 var <- ('var' / 'const' / "let" &LETS) bindings SEMI
 bindings <- declared (',' declared)*
 declared <- binding ANN ('=' assign)?
-binding <- ID / '[' ','* (element (',' ','* / &']'))* ']' / '{' (property (',' property)*)? ','? '}'
+binding <- ID / BINDMORE'[' ','* (element (',' ','* / &']'))* ']' / '{' (property (',' property)*)? ','? '}'
 element <- '...'? binding ('=' assign)?
 property <- '...' binding / key ':' binding ('=' assign)? / ID ('=' assign)?
 for <- 'for' "await"? '(' (('var' / 'const' / "let" &LETS) binding ANN ("of" assign / 'in' expr) / FORMORE lhs ("of" assign / 'in' expr) / (var_no_semi / expr)? ';' expr? ';' expr?) ')' stmt
@@ -115,7 +115,7 @@ cond <- binary ('?' assign ':' assign)?
 binary <- unary (BINOP unary / CAST)*
 unary <- (UNARY / "await" &OPERAND / ASSERTION)* postfix
 postfix <- lhs (NONL ('++' / '--'))?
-@lhs <- 'new'* (primary / 'new' '.' ID) tail*
+@lhs <- ('new' !'.')* (primary / 'new' '.' ID) tail*
 tail <- '.' (WORD / PRIV) / '?.' ('(' args ')' / '[' expr ']' / template / WORD / PRIV) / '[' expr ']' / '(' args ')' / template TAILMORE
 args <- (arg (',' arg)* ','?)?
 arg <- '...'? assign
@@ -128,7 +128,7 @@ template <- TPL / TPLH expr (TPLM expr)* TPLT
 #: What the common part leaves open, without types.
 _PLAIN = {
     "ANN": "", "TPARAMS": "", "TARGS": "", "RETURNS": "", "BODY": "body", "OPTION": "", "FIELDMARK": "", "IMPLEMENTS": "", "CLASSMOD": "", "PARAMMOD": "", "SPECMOD": "",
-    "EXPORTMORE": "", "EXPORTED": "", "STMTMORE": "", "FORMORE": "", "MEMBERMORE": "", "CAST": None, "ASSERTION": None, "TAILMORE": "", "PRIMARYMORE": "",
+    "EXPORTMORE": "", "EXPORTED": "", "STMTMORE": "", "FORMORE": "", "MEMBERMORE": "", "BINDMORE": "", "CAST": None, "ASSERTION": None, "TAILMORE": "", "PRIMARYMORE": "",
     "MEMBERMOD": '("static" / "async" / "get" / "set" / "accessor")', "ARROWHEAD": "#arrow",
 }
 
@@ -136,7 +136,7 @@ _TYPED = {
     "ANN": "('!'? ':' type)?", "TPARAMS": "tparams?", "TARGS": "targs?", "RETURNS": "(':' returned)?", "BODY": "(body / SEMI)", "OPTION": "'?'?", "FIELDMARK": "('?' / '!')?", "IMPLEMENTS": '("implements" types)?',
     "CLASSMOD": '("abstract" / "declare")*', "PARAMMOD": 'decorator* (("public" / "private" / "protected" / "readonly" / "override") &MODNEXT)*', "SPECMOD": '("type" !"as" !\',\' !\'}\')?',
     "EXPORTMORE": "tsdecl / '=' expr SEMI / \"as\" \"namespace\" ID SEMI / \"type\" (names / '*' (\"as\" ID)?) (\"from\" STR)? SEMI / ", "EXPORTED": "tsinterface / ", "STMTMORE": "tsdecl / ", "FORMORE": "", "TAILMORE": "/ NONL '!' / targs &('(' / TPL / TPLH)", "PRIMARYMORE": "",
-    "MEMBERMORE": "", "CAST": "NONL (\"as\" / \"satisfies\") ('const' / type)", "ASSERTION": None, "ARROWHEAD": "#arrow",
+    "MEMBERMORE": "'[' ID ':' type ']' ':' type #semi / ", "BINDMORE": "'this' / ", "CAST": "NONL (\"as\" / \"satisfies\") ('const' / type)", "ASSERTION": None, "ARROWHEAD": "#arrow",
     "MEMBERMOD": '("static" / "async" / "get" / "set" / "accessor" / "public" / "private" / "protected" / "readonly" / "abstract" / "declare" / "override")',
 }
 

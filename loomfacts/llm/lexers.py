@@ -29,7 +29,7 @@ def _ops(text: str) -> str:
     for x in text.split():
         by.setdefault(x[0], []).append(x[1:])
     alone = "".join(re.escape(c) for c, rest in by.items() if rest == [""])
-    grouped = [re.escape(c) + "(?:" + "|".join(map(re.escape, sorted((r for r in rest if r), key=len, reverse=True))) + ")" + ("?" if "" in rest else "") for c, rest in by.items() if rest != [""]]
+    grouped = [("/(?![*/])" if c == "/" else re.escape(c)) + "(?:" + "|".join(map(re.escape, sorted((r for r in rest if r), key=len, reverse=True))) + ")" + ("?" if "" in rest else "") for c, rest in by.items() if rest != [""]]
     return f"[{alone}]|" + "|".join(grouped)
 
 
@@ -109,6 +109,7 @@ _JSX_NAME = re.compile(r"[^\W\d][\w\-]*|\$[\w\-]*")
 _JSX_SPACE = re.compile(r"(?:\s+|/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*)*")
 _JSX_TEXT = re.compile(r"[^{}<>]+")
 _JSX_STR = re.compile(r'"[^"]*"|\'[^\']*\'')
+_JSX_TYPES = re.compile(r"<[^<>{}]*(?:<[^<>{}]*>[^<>{}]*)*>")
 _GENERIC_ARROW = re.compile(r"<\s*(?:const\s+)?[^\W\d]\w*\s*(?:,|extends\b)")
 #: After these a slash divides and ``<`` compares.
 _OPERAND_ENDS = frozenset(["ID", "NUM", "STR", "TPL", "TPLT", "REGEX", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--", "J>", "J/>"])
@@ -242,6 +243,8 @@ def lex_js(src: str, jsx: bool, fast: bool = False) -> tuple[list[str], list[str
                 at = m.end()
             elif c == "<" and kinds[-1] in ("=",):
                 at = tag(at)
+            elif c == "<" and (m := _JSX_TYPES.match(src, at)):
+                at = m.end()
             elif c in "=:.":
                 add(c, c, at)
                 at += 1
@@ -437,7 +440,7 @@ _TOLD_APART = "as async await get set of let static from type interface namespac
 
 
 def _names(words: frozenset[str], not_after: str) -> re.Pattern:
-    return re.compile(rf"(?<![\w$\\'#{not_after}])(?!(?:{'|'.join(sorted(words))})(?![\w$]))(?:[^\W\d]|\$)[\w$]*")
+    return re.compile(rf"(?<![\w$\\'#{not_after}])(?!(?:{'|'.join(sorted(words))})(?![\w$]))(?:[^\W\d]|\$(?!\{{))(?:\w|\$(?!\{{))*")
 
 
 _GO_NAME = _names(GO_WORDS, "")
@@ -544,56 +547,6 @@ def fast_js(src: str, jsx: bool) -> tuple[list[str], list[str], set[int], dict[i
     return kinds, texts, newline, partner
 
 
-#: Names that a grammar may ask for by their text.
-_TOLD_APART = "as async await get set of let static from type interface namespace module declare abstract readonly public private protected override implements keyof unique infer is asserts satisfies enum accessor global require out yield assert target meta constructor".split()
-
-
-def _names(words: frozenset[str], not_after: str) -> re.Pattern:
-    return re.compile(rf"(?<![\w$\\'#{not_after}])(?!(?:{'|'.join(sorted(words))})(?![\w$]))(?:[^\W\d]|\$)[\w$]*")
-
-
-_GO_NAME = _names(GO_WORDS, "")
-_JS_NAME = {False: _names(JS_WORDS | set(_TOLD_APART), ""), True: _names(JS_WORDS | set(_TOLD_APART), "</")}
-_PLAIN_STRING = re.compile(r'"[^"\\\n]*"')
-_PLAIN_NUMBER = re.compile(r"(?<![\w.$\\])[1-9]\d*(?![\w.])")
-
-
-def shape(src: str, language: str) -> str:
-    """The text with plain names, strings and numbers made equal, so that lines of one form become one line.
-
-    It parses if and only if the text does, but for strings and names inside regular expressions, which are left to
-    the second look that every failure gets. Names of tags are kept, since they must match.
-    """
-    names = _GO_NAME if language == "go" else _JS_NAME[language in ("tsx", "jsx")]
-    return _PLAIN_NUMBER.sub("1", names.sub("a", _PLAIN_STRING.sub('""', src)))
-
-
-def fast_go(src: str) -> tuple[list[str], list[str], set[int], dict[int, int]] | None:
-    """The tokens of lex_go without positions, put together from lines; None if a line cannot be read alone."""
-    kinds: list[str] = []
-    texts: list[str] = []
-    known = _GO_LINES
-    if src[:1] == "\ufeff":
-        src = src[1:]
-    if "/*" in src:
-        src = _COMMENT_LINES.sub("\n", src)
-    for line in src.split("\n"):
-        t = known.get(line, 0)
-        if t == 0:
-            try:
-                k, x, *_ = lex_go(line + "\n")
-                t = known.keep(line, (k[:-6], x[:-6]))
-            except LexError:
-                t = known.keep(line, None)
-        if t is None:
-            return None
-        kinds += t[0]
-        texts += t[1]
-    kinds += ["EOF"] * 6
-    texts += [""] * 6
-    return kinds, texts, set(), {}
-
-
 def _js_line(line: str, jsx: bool) -> tuple | None:
     """Kinds, texts, brackets and operand end of a line that reads the same wherever it stands.
 

@@ -19,6 +19,7 @@ from .lexers import LexError, fast_go, fast_js, lex_go, lex_js
 # Extensions of the languages.
 EXTENSIONS = {"go": "go", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx"}
 LANGUAGES = ("go", "typescript", "tsx", "javascript", "jsx")
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))  # rules call each other as deep as a text nests
 _MARKER = re.compile(r"(?m)^[ \t]*(?:<{7}|={7}|>{7}|\|{7})(?:[ \t].*)?$")
 _CUT = re.compile(r"(?i)^\s*(?:\[truncated\b|<snip\b|\.\.\.\s*\d+\s+more\b)")
 
@@ -88,7 +89,6 @@ def _cause(source: str, language: str, at: int, plain: str) -> str:
 
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(200_000)
     gc.set_threshold(200_000, 20, 100)
     for b in batches:
         ok = []
@@ -101,7 +101,6 @@ def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(200_000)
     for b in batches:
         out: dict[str, list] = {"ok": [], "fail_at": [], "fail_line": [], "fail_found": [], "cause": []}
         for source, language in zip(b["source"], b["language"]):
