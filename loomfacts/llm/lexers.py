@@ -439,14 +439,23 @@ _JS_LINES = {False: _Lines(), True: _Lines()}
 _TOLD_APART = "as async await get set of let static from type interface namespace module declare abstract readonly public private protected override implements keyof unique infer is asserts satisfies enum accessor global require out yield assert target meta constructor".split()
 
 
-def _names(words: frozenset[str], not_after: str) -> re.Pattern:
-    return re.compile(rf"(?<![\w$\\'#{not_after}])(?!(?:{'|'.join(sorted(words))})(?![\w$]))(?:[^\W\d]|\$(?!\{{))(?:\w|\$(?!\{{))*")
+def _name_or_number(not_after: str) -> re.Pattern:
+    return re.compile(rf"(?<![\w$\\'#{not_after}])(?:[^\W\d]|\$(?!\{{))(?:\w|\$(?!\{{))*|(?<![\w.$\\])[1-9]\d*(?![\w.])")
 
 
-_GO_NAME = _names(GO_WORDS, "")
-_JS_NAME = {False: _names(JS_WORDS | set(_TOLD_APART), ""), True: _names(JS_WORDS | set(_TOLD_APART), "</")}
+_KEPT = {"go": {w: w for w in GO_WORDS}, "js": {w: w for w in JS_WORDS | set(_TOLD_APART)}}
+_NAMES = {"": _name_or_number(""), "jsx": _name_or_number("</")}
 _PLAIN_STRING = re.compile(r'"[^"\\\n]*"')
-_PLAIN_NUMBER = re.compile(r"(?<![\w.$\\])[1-9]\d*(?![\w.])")
+
+
+def _equal_go(m: re.Match) -> str:
+    s = m[0]
+    return _KEPT["go"].get(s) or ("1" if s[0] <= "9" and s[0] != "$" else "a")
+
+
+def _equal_js(m: re.Match, kept: dict[str, str] = _KEPT["js"]) -> str:
+    s = m[0]
+    return kept.get(s) or ("1" if "0" < s[0] <= "9" else "a")
 
 
 def shape(src: str, language: str) -> str:
@@ -455,8 +464,11 @@ def shape(src: str, language: str) -> str:
     It parses if and only if the text does, but for strings and names inside regular expressions, which are left to
     the second look that every failure gets. Names of tags are kept, since they must match.
     """
-    names = _GO_NAME if language == "go" else _JS_NAME[language in ("tsx", "jsx")]
-    return _PLAIN_NUMBER.sub("1", names.sub("a", _PLAIN_STRING.sub('""', src)))
+    if '"' in src:
+        src = _PLAIN_STRING.sub('""', src)
+    if language == "go":
+        return _NAMES[""].sub(_equal_go, src)
+    return _NAMES["jsx" if language in ("tsx", "jsx") else ""].sub(_equal_js, src)
 
 
 def _read_line(line: str, language: str) -> tuple | None:

@@ -89,7 +89,7 @@ def _cause(source: str, language: str, at: int, plain: str) -> str:
 
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    gc.set_threshold(200_000, 20, 100)
+    gc.disable()  # a parse leaves no cycles; collecting would only walk the tables of lines again and again
     for b in batches:
         ok = []
         for source, language in zip(b["source"], b["language"]):
