@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,12 +27,13 @@ def confusion(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def match_outcomes(expected: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row for each expected or observed row: tp where the n-th of a key meets the n-th, else fn or fp."""
-    def numbered(d: DataFrame) -> DataFrame:
-        return d.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))).alias("n"))
+    """For each key its matches one to one: tp pairs, fn expected rows and fp observed rows left over.
 
-    e, o = numbered(expected).withColumn("e", F.lit(1)), numbered(observed).withColumn("o", F.lit(1))
-    return e.join(o, [*keys, "n"], "full").select(*keys, F.when(F.col("o").isNull(), "fn").when(F.col("e").isNull(), "fp").otherwise("tp").alias("outcome"))
+    Only counts meet, so a key with very many rows is one row a task.
+    """
+    both = expected.select(*keys, F.lit(1).alias("e"), F.lit(0).alias("o")).unionByName(observed.select(*keys, F.lit(0).alias("e"), F.lit(1).alias("o")))
+    n = both.groupBy(*keys).agg(F.sum("e").alias("e"), F.sum("o").alias("o"))
+    return n.select(*keys, F.least("e", "o").alias("tp"), F.greatest(F.col("e") - F.col("o"), F.lit(0)).alias("fn"), F.greatest(F.col("o") - F.col("e"), F.lit(0)).alias("fp"))
 
 
 def run_delta(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -203,16 +203,26 @@ def points_to(allocations: DataFrame, copies: DataFrame, stores: DataFrame | Non
     return facts
 
 
+def alias_classes(sets: DataFrame, variable: str, element: str) -> DataFrame:
+    """variable, class (the least variable with the same set), size of the set."""
+    each = sets.select(F.col(variable).alias("v"), F.col(element).alias("o")).where("v is not null and o is not null").groupBy("v").agg(F.array_sort(F.collect_set("o")).alias("set"))
+    least = each.groupBy("set").agg(F.min("v").alias("class"))
+    return each.join(least, "set").select(F.col("v").alias("variable"), "class", F.size("set").alias("size"))
+
+
 def alias_pairs(sets: DataFrame, variable: str, element: str) -> DataFrame:
-    """Pairs of variables (left < right) that share an element: shared, and must (equal singletons) or may.
+    """Which classes of variables alias: left, right (classes, left <= right), shared elements and relation.
 
-    The join is on the element, so only pairs that do alias come out; all others are no aliases.
+    Variables with equal sets are one class, so that copies give no pairs among themselves: a class of several variables
+    has a row with itself, must if its set is a singleton, else may. Two classes have a row if they share an element
+    (may); all others are no aliases. The join is on the element. Sets are those of a points-to analysis, whose size
+    its bounds limit.
     """
-    x = sets.select(F.col(variable).alias("v"), F.col(element).alias("o")).where("v is not null and o is not null").distinct()
-    size = x.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    pairs = x.select(F.col("v").alias("left"), "o").join(x.select(F.col("v").alias("right"), "o"), "o").where(F.col("left") < F.col("right")).groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared"))
-    sized = pairs.join(size.select(F.col("v").alias("left"), F.col("n").alias("nl")), "left").join(size.select(F.col("v").alias("right"), F.col("n").alias("nr")), "right")
-    return sized.select("left", "right", "shared", F.when((F.col("nl") == 1) & (F.col("nr") == 1), "must").otherwise("may").alias("relation"))
+    c = alias_classes(sets, variable, element)
+    own = c.groupBy("class", "size").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("class").alias("left"), F.col("class").alias("right"), F.col("size").cast("long").alias("shared"), F.when(F.col("size") == 1, "must").otherwise("may").alias("relation"))
+    x = sets.select(F.col(variable).alias("class"), F.col(element).alias("o")).where("o is not null").distinct().join(c.select("class").distinct(), "class", "left_semi")
+    pairs = x.select(F.col("class").alias("left"), "o").join(x.select(F.col("class").alias("right"), "o"), "o").where(F.col("left") < F.col("right")).groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared"))
+    return own.unionByName(pairs.withColumn("relation", F.lit("may")))
 
 
 def rapid_types(roots: DataFrame, static_calls: DataFrame, dynamic_calls: DataFrame, instantiations: DataFrame, methods: DataFrame, most_rounds: int = 32) -> tuple[DataFrame, DataFrame]:

@@ -186,8 +186,8 @@ SQL = {
     "gr_trade_reachable_blocks": f"WITH RECURSIVE {_T}, {_N}, f AS (SELECT min(src) AS node FROM t UNION SELECT dst FROM f JOIN t ON node = src) SELECT 1 AS function, node AS block, node AS other, node IN (SELECT node FROM f) AS immediate FROM n",
     "gr_series_components": """WITH RECURSIVE k AS (SELECT DISTINCT series_id AS s, stable_fingerprint AS f FROM report_diagnostics WHERE stable_fingerprint IS NOT NULL), shared AS (SELECT f FROM k GROUP BY f HAVING count(*) > 1),
         u AS (SELECT DISTINCT a.s AS a, b.s AS b FROM k a JOIN shared USING (f) JOIN k b USING (f) WHERE a.s <> b.s), q AS (SELECT DISTINCT s AS node, s AS other FROM k UNION SELECT node, b FROM q JOIN u ON other = a) SELECT node AS series_id, min(other) AS component FROM q GROUP BY 1""",
-    "gr_alias_suites": """WITH x AS (SELECT DISTINCT suite_id AS v, unnest(languages) AS o FROM suites), z AS (SELECT v, count(*) AS n FROM x GROUP BY 1) SELECT a.v AS "left", b.v AS "right", count(*) AS shared, CASE WHEN max(p.n) = 1 AND max(q.n) = 1 THEN 'must' ELSE 'may' END AS relation
-        FROM x a JOIN x b ON a.o = b.o AND a.v < b.v JOIN z p ON p.v = a.v JOIN z q ON q.v = b.v GROUP BY 1, 2""",
+    "gr_alias_suites": """WITH x AS (SELECT suite_id AS v, list_sort(list_distinct(languages)) AS s FROM suites), c AS (SELECT s, min(v) AS class, count(*) AS m FROM x WHERE len(s) > 0 GROUP BY s), y AS (SELECT class, unnest(s) AS o FROM c)
+        SELECT class AS "left", class AS "right", len(s) AS shared, CASE WHEN len(s) = 1 THEN 'must' ELSE 'may' END AS relation FROM c WHERE m > 1 UNION ALL SELECT a.class, b.class, count(*), 'may' FROM y a JOIN y b ON a.o = b.o AND a.class < b.class GROUP BY 1, 2""",
     "pol_events_matching": f"WITH {_E} SELECT * FROM v WHERE name = 'purchase'",
     "pol_write_field": f"WITH {_E} SELECT * FROM v WHERE FALSE",
     "pol_missing_guard": f"WITH {_E} SELECT * FROM v WHERE name = 'purchase' AND NOT EXISTS (SELECT 1 FROM v g WHERE g.scope = v.scope AND g.name = 'signup' AND g.position < v.position)",

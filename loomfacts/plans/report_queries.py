@@ -98,7 +98,7 @@ def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _match_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, now = _sides(spark, sf_dir)
-    return E.match_outcomes(before, now, ["series_id", "stable_fingerprint"]).groupBy("outcome").agg(F.count(F.lit(1)).alias("cases"))
+    return E.match_outcomes(before, now, ["series_id", "stable_fingerprint"]).agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp")])
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,7 @@ SQL = {
         SELECT capability, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) END, 6) AS f1, round(CASE WHEN 4 * p + r <> 0 THEN 5 * p * r / (4 * p + r) END, 6) AS f2,
         round(CASE WHEN 0.25 * p + r <> 0 THEN 1.25 * p * r / (0.25 * p + r) END, 6) AS f05, round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END, 6) AS fpr FROM q""",
     "rep_match_outcomes": f"""WITH {_BOTH}, z AS (SELECT coalesce(p.m, 0) AS e, coalesce(q.m, 0) AS o FROM (SELECT series_id, stable_fingerprint, count(*) AS m FROM b GROUP BY 1, 2) p FULL JOIN (SELECT series_id, stable_fingerprint, count(*) AS m FROM n GROUP BY 1, 2) q
-        ON p.series_id = q.series_id AND p.stable_fingerprint = q.stable_fingerprint) SELECT * FROM (SELECT 'tp' AS outcome, sum(least(e, o))::BIGINT AS cases FROM z UNION ALL SELECT 'fn', sum(greatest(e - o, 0))::BIGINT FROM z UNION ALL SELECT 'fp', sum(greatest(o - e, 0))::BIGINT FROM z) WHERE cases > 0""",
+        ON p.series_id = q.series_id AND p.stable_fingerprint = q.stable_fingerprint) SELECT sum(least(e, o))::BIGINT AS tp, sum(greatest(e - o, 0))::BIGINT AS fn, sum(greatest(o - e, 0))::BIGINT AS fp FROM z""",
     "rep_gates": f"WITH {_RUNS} SELECT suite_id, CASE WHEN cold_wall_clock_ms IS NULL THEN 'unknown' WHEN cold_wall_clock_ms > 20000 THEN 'fail' WHEN cold_wall_clock_ms > 5000 THEN 'warn' ELSE 'pass' END AS gate, count(*) AS runs FROM r GROUP BY 1, 2",
     "rep_budget_gates": f"""WITH {_RUNS} SELECT suite_id, CASE WHEN cold_wall_clock_ms IS NULL OR warm_wall_clock_ms IS NULL THEN 'unknown' WHEN cold_wall_clock_ms > warm_wall_clock_ms * 1.2::DOUBLE AND cold_wall_clock_ms > warm_wall_clock_ms + 500 THEN 'fail' ELSE 'pass' END AS gate,
         count(*) AS runs FROM r GROUP BY 1, 2""",
