@@ -12,9 +12,11 @@ from ..operators import entrypoints as EP
 from ..operators import extract as X
 from ..operators import fixpoint as G
 from ..operators import incremental as I
+from ..operators import resolution as RS
 from ..session import table
 from .graph_queries import _chain, _trade
-from .source_queries import _FUNCTIONS, _LINES, _get, _has
+from ..views import FactViews
+from .source_queries import _CALL_ROWS, _FILES, _FUNCTIONS, _LINES, _TYPES, _get, _has, _q
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,7 +106,41 @@ def _reach_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reachable(edges, first).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def _call_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "source_files")
+    found = RS.call_targets(X.call_names(files), FactViews(files).symbols.all(), ["len", "append", "make", "require"])
+    return found.groupBy("status", "algorithm", "reason").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("callee").alias("names"))
+
+
+def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syntactic names, since there are neither refined edges nor resolved sites of the test callee."""
+    names = X.call_names(table(spark, sf_dir, "source_files")).select(F.col("id").alias("caller"), "callee")
+    none = names.limit(0).withColumn("status", F.lit("")).withColumn("precision", F.lit(""))
+    return RS.tiered_edges(none, none, names).groupBy("tier", "status", "callee").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of pkg and of internal in folders of the same name, by repository."""
+    return RS.paired_paths(table(spark, sf_dir, "source_files").where("repo_id is not null"), r"^pkg/([^/]+)/[^/]+$", r"^internal/([^/]+)/[^/]+$", keys=["repo_id"])
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "source_files").select("id", "relative_path").distinct()
+    return RS.dense_ids(files, "relative_path")
+
+
+def _dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RS.dot_lines(_trade(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "res_call_targets": _call_targets,
+    "res_tiers": _tiers,
+    "res_paired_paths": _pairs,
+    "res_dense_ids": _dense,
+    "res_dot": _dot,
+    "res_test_facts": lambda s, p: RS.test_facts(table(s, p, "source_files")),
+    "res_directories": lambda s, p: RS.neighbours_in_directory(table(s, p, "source_files")),
     "ent_roots": _roots,
     "ent_trust_boundaries": _boundaries,
     "ent_dispatch": _dispatch,
@@ -126,6 +162,18 @@ FROM fn JOIN (SELECT DISTINCT id, relative_path FROM f) p ON p.id = fn.id WHERE
 _PK = f"pk AS (SELECT DISTINCT id, {_get(X.GO_PACKAGE, 1)} AS package FROM l WHERE language = 'go' AND {_has(X.GO_PACKAGE)})"
 
 SQL = {
+    "res_call_targets": f"""WITH {_LINES}, {_FUNCTIONS}, {_TYPES}, {_CALL_ROWS}, kn AS (SELECT name, count(DISTINCT id) AS c FROM sy GROUP BY 1), lo AS (SELECT DISTINCT id, name FROM sy),
+        r AS (SELECT k.callee, CASE WHEN lo.id IS NOT NULL OR c = 1 THEN 'resolved' WHEN c > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN lo.id IS NOT NULL THEN 'lexical' WHEN c = 1 THEN 'import_binding' END AS algorithm FROM k LEFT JOIN lo ON lo.id = k.id AND lo.name = k.callee LEFT JOIN kn ON kn.name = k.callee)
+        SELECT status, algorithm, CASE WHEN status <> 'unresolved' THEN NULL WHEN callee IN ('len', 'append', 'make', 'require') THEN 'builtin' WHEN contains(callee, '.') THEN 'dynamic' ELSE 'not_found' END AS reason, count(*) AS calls, count(DISTINCT callee) AS names FROM r GROUP BY 1, 2, 3""",
+    "res_tiers": f"WITH {_LINES}, {_CALL_ROWS} SELECT 'name' AS tier, 'heuristic' AS status, callee, count(*) AS edges FROM k GROUP BY 3",
+    "res_paired_paths": """WITH p AS (SELECT DISTINCT repo_id, relative_path FROM source_files WHERE repo_id IS NOT NULL), a AS (SELECT repo_id, regexp_extract(relative_path, '^pkg/([^/]+)/[^/]+$', 1) AS context, relative_path AS "left" FROM p WHERE regexp_matches(relative_path, '^pkg/([^/]+)/[^/]+$')),
+        b AS (SELECT repo_id, regexp_extract(relative_path, '^internal/([^/]+)/[^/]+$', 1) AS context, relative_path AS "right" FROM p WHERE regexp_matches(relative_path, '^internal/([^/]+)/[^/]+$')) SELECT * FROM a JOIN b USING (repo_id, context)""",
+    "res_dense_ids": "SELECT id, relative_path, dense_rank() OVER (ORDER BY relative_path) - 1 AS dense_id FROM (SELECT DISTINCT id, relative_path FROM source_files)",
+    "res_dot": """WITH t AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount >= 0.09)
+        SELECT '  "' || src || '" -> "' || dst || '";' AS value FROM t""",
+    "res_test_facts": f"""WITH {_LINES}, t AS (SELECT DISTINCT l.id, line_no, line FROM l JOIN f USING (id) WHERE regexp_matches(relative_path, '_test\\.go$|\\.(test|spec)\\.[cm]?[jt]sx?$'))
+        SELECT id, sum(len(regexp_extract_all(line, {_q(RS.ASSERTION)})))::BIGINT AS assertion_count, sum(len(regexp_extract_all(line, {_q(RS.SUBTEST)})))::BIGINT AS subtest_count, count(*) FILTER (regexp_matches(line, {_q(RS.TABLE_ROW)})) AS table_rows FROM t GROUP BY 1""",
+    "res_directories": f"WITH {_FILES} SELECT repo_id, directory, count(DISTINCT relative_path) AS files FROM f GROUP BY 1, 2",
     "ent_roots": f"""WITH {_LINES}, {_FUNCTIONS}, {_PK}, x AS (SELECT fn.*, package FROM fn LEFT JOIN pk USING (id)), k AS (SELECT id, name, 1 AS o, 'go_main' AS kind FROM x WHERE language = 'go' AND name = 'main' AND package = 'main' UNION ALL SELECT id, name, 2, 'go_init' FROM x WHERE language = 'go' AND name = 'init'
         UNION ALL SELECT id, name, 4, 'configured' FROM x WHERE name = 'DecodeSpan' UNION ALL SELECT id, name, CASE language WHEN 'go' THEN 5 ELSE 6 END, CASE language WHEN 'go' THEN 'go_exported' ELSE 'script_exported' END FROM x WHERE is_exported AND NOT is_test),
         r AS (SELECT id, name, arg_min(kind, o) AS kind FROM k GROUP BY 1, 2) SELECT *, CASE kind WHEN 'script_exported' THEN 'setup_aware' ELSE 'resolved_static' END AS precision FROM r""",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.predicates import any_glob, in_scope, included
+from ..functions.predicates import in_scope, included
 from ..functions.text import posix_path
 from ..operators.extract import language
 

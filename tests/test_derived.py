@@ -10,6 +10,7 @@ from loomfacts.operators import entrypoints as EP
 from loomfacts.operators import fixpoint as G
 from loomfacts.operators import incremental as I
 from loomfacts.operators import lattice as L
+from loomfacts.operators import resolution as RS
 from loomfacts.streaming import events as S
 
 
@@ -100,3 +101,34 @@ def test_stream_with_late_rows(spark, tmp_path):
     assert once.count() == 2
     counts = S.run_available(S.windowed_counts(S.read_stream(spark, str(tmp_path / "e.parquet"), df.schema)).select(F.col("w.start").alias("d"), "event_type", "events"), "update", ("d", "event_type"))
     assert sorted((r["event_type"], r["events"]) for r in counts.collect()) == [("a", 1), ("b", 2)]
+
+
+def test_resolution(spark):
+    calls = spark.createDataFrame([(1, 1, 0, "f"), (1, 2, 0, "g"), (1, 3, 0, "h"), (1, 4, 0, "a.b"), (1, 5, 0, "len"), (1, 6, 0, "zz")], "id long, line_no int, position int, callee string")
+    symbols = spark.createDataFrame([(1, "f"), (2, "f"), (2, "g"), (2, "h"), (3, "h")], "id long, name string")
+    got = {r["callee"]: (r["status"], r["algorithm"], r["target"], r["reason"]) for r in RS.call_targets(calls, symbols, ["len"]).collect()}
+    assert got == {"f": ("resolved", "lexical", 1, None), "g": ("resolved", "import_binding", 2, None), "h": ("ambiguous", None, None, None), "a.b": ("unresolved", None, None, "dynamic"), "len": ("unresolved", None, None, "builtin"), "zz": ("unresolved", None, None, "not_found")}
+    one = spark.createDataFrame([("a", "b", "resolved", "exact")], "caller string, callee string, status string, precision string")
+    assert [r["tier"] for r in RS.tiered_edges(one.limit(0), one, one).collect()] == ["site"]
+    flags = spark.createDataFrame([(True, True, None), (None, True, False), (None, None, None)], "dynamic boolean, ambiguous boolean, duplicate boolean")
+    assert [r[0] for r in flags.select(RS.requirement_status({c: F.col(c) for c in flags.columns})).collect()] == ["dynamic", "ambiguous", "resolved"]
+    files = spark.createDataFrame([("src/a/x.ts",), ("test/a/y.ts",), ("test/b/z.ts",)], "relative_path string")
+    assert [tuple(r) for r in RS.paired_paths(files, "^src/([^/]+)/", "^test/([^/]+)/").collect()] == [("a", "src/a/x.ts", "test/a/y.ts")]
+    rel = spark.createDataFrame([(1, "a", "b", True)], "function int, block string, other string, immediate boolean")
+    pairs = spark.createDataFrame([(1, "a", "b"), (1, "b", "a"), (1, "b", "b"), (1, None, "b"), (2, "x", "y")], "function int, candidate string, event string")
+    assert sorted((str(r["candidate"]), r["event"], r["holds"]) for r in RS.dominance_holds(pairs, rel).collect()) == [("None", "b", True), ("a", "b", True), ("b", "a", False), ("b", "b", True), ("x", "y", True)]
+
+
+def test_dense_ids_and_graph_text(spark):
+    keys = [f"k{i:03d}" for i in range(200)]
+    df = spark.createDataFrame([(k, 1) for k in keys * 2] + [(None, 1)], "key string, dense int").repartition(6)
+    assert {r["key"]: r["dense_id"] for r in RS.dense_ids(df, "key").collect()} == {k: i for i, k in enumerate(keys)} | {None: None}
+    assert [r[0] for r in RS.dot_lines(spark.createDataFrame([('a"', "b")], "src string, dst string")).collect()] == ['  "a\\"" -> "b";']
+
+
+def test_interprocedural_edges(spark):
+    got = RS.interprocedural_edges(
+        spark.createDataFrame([("a", "c")], "src string, dst string"), spark.createDataFrame([("s1", "c", "d", "f"), ("s2", "d", "e", None)], "site string, at string, after string, callee string"),
+        spark.createDataFrame([("f", "f_in")], "function string, node string"), spark.createDataFrame([("f", "f_out")], "function string, node string"),
+    )
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", "c", "intra", None), ("c", "f_in", "call", "s1"), ("f_out", "d", "return", "s1"), ("c", "d", "call_to_return", "s1"), ("d", "e", "call_to_return", "s2")], key=str)
