@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.quantiles import merge_sketches, quantiles, sketch
 from ..operators.snapshot_diff import snapshot_diff
 from ..operators.tree_aggregate import heavy_keys, per_key_results
-from ..session import table
+from ..session import materialise, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +34,18 @@ def daily_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of all days, combined from the states of the days."""
-    return quantiles(merge_sketches(daily_states(spark, sf_dir), ["suite_id", "measure"]), ["suite_id", "measure"], PROBABILITIES)
+    """Percentiles of each day, and (with a null day) of all days, combined from the states of the days."""
+    days = materialise(daily_states(spark, sf_dir), "days")
+    each = quantiles(days, ["suite_id", "day", "measure"], PROBABILITIES)
+    whole = quantiles(merge_sketches(days, ["suite_id", "measure"]), ["suite_id", "measure"], PROBABILITIES)
+    return each.unionByName(whole.withColumn("day", F.lit(None).cast("date")))
 
 
-def p5_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles(daily_states(spark, sf_dir), ["suite_id", "day", "measure"], PROBABILITIES)
+def p5_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles(merge_sketches(daily_states(spark, sf_dir), ["suite_id", "measure"]), ["suite_id", "measure"], PROBABILITIES)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_per_key": p4_per_key, "p5_percentiles": p5_percentiles, "p5_daily": p5_daily}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_per_key": p4_per_key, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days}
 
 SQL = {
     "p3_found": """
