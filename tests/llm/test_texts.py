@@ -127,11 +127,11 @@ def test_handwritten(spark):
 RESIDUE = [
     "Thanks for contacting {{name}}. Your request $(id) has been logged.", "# [TEAM NAME]\n\n## Summary\n\nTBD", "Limit: [object Object].", "Version %VERSION% of it", "Lorem ipsum dolor sit amet, consectetur adipiscing elit", "Item 1: your text here", "xxxx xxxx xxxx xxxx xxxx xxxx xxxx xxxx xxxx",
     "ここにダミーテキストが入ります。", "HTTP 500 – Internal Server Error", "Error 404: not found\nBack", '{"status": 429, "detail": "Too much"}', "Seite nicht gefunden", "# Gone\n", "<html><head><title>404 Page not found</title></head></html>", "Please enable JavaScript to view this page.",
-    "This app requires scripting.", "このページを表示するには JavaScript を有効にしてください。", "Good text.\n\nThe page you asked for does not exist or has moved.\n\nMore text.", "PLEASE TURN ON CLIENT-SIDE SCRIPTS IN YOUR BROWSER.", "Pl\u200bease enable Java<|endoftext|>Script.", "Page owned by @@owner@@ here", "We are down for maintenance.",
+    "This app requires scripting.", "このページを表示するには JavaScript を有効にしてください。", "Good text.\n\nThe page you asked for does not exist or has moved.\n\nMore text.", "PLEASE TURN ON CLIENT-SIDE SCRIPTS IN YOUR BROWSER.", "Pl\u200bease enable Java<|endoftext|>Script.", "Page owned by @@owner@@ here", "We are down for maintenance.", "Error 401: unauthorized they’re we'll", '{"error": {"code": 502}} हिन्दी',
 ]
 CLEAN = [
     None, "", "  ", "word", "A null value is kept as null, an empty one is counted.", 'The test expects the "Please enable JavaScript" notice to be present.', "When the registry answers 404 Not Found, `f` retries.", "We keep one `access denied` fixture.", "Rule x flags strings such as 'Lorem ipsum dolor sit amet' in labels.",
-    'The writer leaves "{{ x }}" alone and expands "${X}" at load time.', "```yaml\nname: ${{ env.X }}\nlabel: <%= y %>\n```\nText.", "Usage: decode <PATH> [OPTIONS] --limit <N>", "12:00:01 WARN registry answered 404 for x, attempt 1", "// replace __X__ during the build", "cut <|endoftext|> token", "A 503 Service Unavailable from the mirror is counted as a failure.",
+    'The writer leaves "{{ x }}" alone and expands "${X}" at load time.', "```yaml\nname: ${{ env.X }}\nlabel: <%= y %>\n```\nText.", "Usage: decode <PATH> [OPTIONS] --limit <N>", "12:00:01 WARN registry answered 404 for x, attempt 1", "// replace __X__ during the build", "cut <|endoftext|> token", "cut [PAD] and <pad><unk> or </s> token [MASK]", "A 503 Service Unavailable from the mirror is counted as a failure.",
     "const a = `x ${b.c} of {${d + 1}}`;", "The JavaScript rule reports a cursor when load is called.",
 ]
 
