@@ -163,6 +163,9 @@ e AS (SELECT prev AS src, snapshot_id AS dst, status FROM s WHERE prev IS NOT NU
 _T = """t AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount >= 0.09)"""
 _R = "r AS (SELECT src AS start, dst AS node FROM t UNION SELECT start, dst FROM r JOIN t ON node = src)"
 _N = "n AS (SELECT src AS node FROM t UNION SELECT dst FROM t)"
+_PD = """ends AS (SELECT node FROM n WHERE node NOT IN (SELECT src FROM t) UNION SELECT max(node) FROM n WHERE NOT EXISTS (SELECT 1 FROM n WHERE node NOT IN (SELECT src FROM t)) HAVING count(*) > 0),
+f AS (SELECT node FROM ends UNION SELECT src FROM f JOIN t ON node = dst), w AS (SELECT g.node AS gone, e.node FROM n g, ends e WHERE g.node <> e.node UNION SELECT gone, src FROM w JOIN t ON node = dst WHERE src <> gone),
+d AS (SELECT a.node AS block, b.node AS other FROM f a, f b WHERE a.node = b.node OR NOT EXISTS (SELECT 1 FROM w WHERE w.gone = a.node AND w.node = b.node)), k AS (SELECT other, count(*) AS c FROM d GROUP BY 1)"""
 _E = "v AS (SELECT user_id AS scope, epoch_us(ts) AS position, event_type AS name FROM events)"
 
 SQL = {
@@ -183,6 +186,9 @@ SQL = {
         w AS (SELECT n.node AS gone, entry AS node FROM n, en WHERE n.node <> entry UNION SELECT gone, dst FROM w JOIN t ON node = src WHERE dst <> gone),
         d AS (SELECT a.node AS block, b.node AS other FROM f a, f b, en WHERE a.node = b.node OR a.node = entry OR NOT EXISTS (SELECT 1 FROM w WHERE w.gone = a.node AND w.node = b.node)),
         k AS (SELECT other, count(*) AS c FROM d GROUP BY 1) SELECT 1 AS function, block, d.other, block <> d.other AND kb.c = ko.c - 1 AS immediate FROM d JOIN k kb ON kb.other = d.block JOIN k ko ON ko.other = d.other""",
+    "gr_trade_postdominators": f"WITH RECURSIVE {_T}, {_N}, {_PD} SELECT 1 AS function, block, d.other, block <> d.other AND kb.c = ko.c - 1 AS immediate FROM d JOIN k kb ON kb.other = d.block JOIN k ko ON ko.other = d.other",
+    "gr_trade_control_dependence": f"""WITH RECURSIVE {_T}, {_N}, {_PD}, o AS (SELECT src, dst FROM t WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM d WHERE d.block = dst AND d.other = src))
+        SELECT DISTINCT 1 AS function, src AS block, x AS other, TRUE AS immediate FROM (SELECT src, d.block AS x FROM o JOIN d ON d.other = dst WHERE d.block = src OR NOT EXISTS (SELECT 1 FROM d z WHERE z.block = d.block AND z.other = src) UNION SELECT src, dst FROM o WHERE dst NOT IN (SELECT node FROM f))""",
     "gr_trade_reachable_blocks": f"WITH RECURSIVE {_T}, {_N}, f AS (SELECT min(src) AS node FROM t UNION SELECT dst FROM f JOIN t ON node = src) SELECT 1 AS function, node AS block, node AS other, node IN (SELECT node FROM f) AS immediate FROM n",
     "gr_series_components": """WITH RECURSIVE k AS (SELECT DISTINCT series_id AS s, stable_fingerprint AS f FROM report_diagnostics WHERE stable_fingerprint IS NOT NULL), shared AS (SELECT f FROM k GROUP BY f HAVING count(*) > 1),
         u AS (SELECT DISTINCT a.s AS a, b.s AS b FROM k a JOIN shared USING (f) JOIN k b USING (f) WHERE a.s <> b.s), q AS (SELECT DISTINCT s AS node, s AS other FROM k UNION SELECT node, b FROM q JOIN u ON other = a) SELECT node AS series_id, min(other) AS component FROM q GROUP BY 1""",
