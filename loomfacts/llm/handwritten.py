@@ -16,7 +16,11 @@ from ..session import materialise, maybe_broadcast
 from .parse_check import spread
 
 #: Tokens of a k-gram, k-grams of a window: a run of GRAM + WINDOW - 1 equal tokens always shares a fingerprint.
-GRAM, WINDOW = 64, 32
+GRAM, WINDOW = 24, 12
+#: The same for the stream with names and literals normalized, where short runs recur by chance in code written by hand.
+NAMELESS_GRAM, NAMELESS_WINDOW = 64, 16
+#: Least tokens for the whole stream of a file with few fingerprints to be one: `package main` recurs everywhere.
+WHOLE_TOKENS = 12
 #: A fingerprint recurs widely if it occurs in this many repositories of this many owners.
 MIN_REPOS, MIN_OWNERS = 3, 2
 #: Share of a file's fingerprints that must recur widely, and their least number, for the file to be a vendored copy.
@@ -124,6 +128,26 @@ class _Codes(dict):
 
 _EXACT, _PLAIN = _Codes(False), _Codes(True)
 
+# Words of the languages, which are no names.
+_WORDS = frozenset(
+    "async await break case catch chan class const continue debugger default defer delete do else enum export extends fallthrough false finally for func function go goto if implements import in instanceof interface let map new nil null package private protected public range return select static struct super switch this throw true try type typeof undefined var void while with yield".split()
+)
+
+
+class _Nameless(dict):
+    """Codes of tokens with all strings as one and all numbers as one; 0 for a name."""
+
+    def __missing__(self, t: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        c = t[0]
+        self[t] = code = 1 if c in "\"'`" else 2 if c.isdigit() else 0 if (c == "_" or c.isalpha()) and t not in _WORDS else _EXACT[t]
+        return code
+
+
+_NAMELESS = _Nameless()
+_DOT = np.uint64(zlib.crc32(b"."))
+
 
 def is_minified(source: str) -> bool:
     """Code squeezed into long lines with hardly any white space."""
@@ -186,18 +210,59 @@ def repeated_share(source: str, tokens: list[str]) -> tuple[float, int]:
     return 1 - len(np.unique(grams)) / len(grams), numbered
 
 
-_POWERS = np.cumprod(np.full(GRAM, 0x9E3779B97F4A7C15, np.uint64))
+#: Which stream a fingerprint is of, in its two low bits.
+EXACT, NAMELESS, WHOLE = 0, 1, 2
+
+
+def _winnow(grams: np.ndarray, window: int, kind: int) -> np.ndarray:
+    """The least hash of each window of k-grams."""
+    grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    low = sliding_window_view(grams, window).min(axis=1) if len(grams) >= window else grams.min(keepdims=True)
+    return np.unique(low & ~np.uint64(3) | np.uint64(kind)).view(np.int64)
+
+
+def _powers(k: int) -> np.ndarray:
+    return np.cumprod(np.full(k, 0x9E3779B97F4A7C15, np.uint64))
+
+
+_POWERS, _NAMELESS_POWERS = _powers(GRAM), _powers(NAMELESS_GRAM)
+_NAMELESS_AT = np.arange(NAMELESS_GRAM)
+
+
+def _nameless_grams(tokens: list[str], exact: np.ndarray) -> np.ndarray:
+    """k-grams in which a name is the distance to its last place in the k-gram, so that renaming does not change them.
+
+    Names after a dot are kept: members of libraries stay as they are when a copy is renamed.
+    """
+    codes = np.fromiter(map(_NAMELESS.__getitem__, tokens), np.uint64, len(tokens))
+    member = np.zeros(len(tokens), bool)
+    member[1:] = exact[:-1] == _DOT
+    codes = np.where((codes == 0) & member, exact, codes)
+    names = np.flatnonzero(codes == 0)
+    order = names[np.argsort(exact[names], kind="stable")]
+    back = np.zeros(len(tokens), np.int64)
+    same = exact[order[1:]] == exact[order[:-1]]
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    seen = sliding_window_view(back, NAMELESS_GRAM)
+    seen = np.where(seen <= _NAMELESS_AT, seen, 0).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return (sliding_window_view(codes, NAMELESS_GRAM) + seen) @ _NAMELESS_POWERS
 
 
 def fingerprints(tokens: list[str]) -> np.ndarray:
-    """Winnowed fingerprints of the token stream: the least k-gram hash of each window."""
-    if len(tokens) < GRAM:
+    """Winnowed fingerprints of the token stream as it stands and with names and literals normalized.
+
+    A file with fewer than MIN_PRINTS of the first has the hash of its whole stream besides.
+    """
+    n = len(tokens)
+    if n < WHOLE_TOKENS:
         return np.empty(0, np.int64)
-    codes = np.fromiter(map(_EXACT.__getitem__, tokens), np.uint64, len(tokens))
-    grams = sliding_window_view(codes, GRAM) @ _POWERS
-    grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    low = sliding_window_view(grams, WINDOW).min(axis=1) if len(grams) >= WINDOW else grams.min(keepdims=True)
-    return np.unique(low).view(np.int64)
+    exact = np.fromiter(map(_EXACT.__getitem__, tokens), np.uint64, n)
+    out = [_winnow(sliding_window_view(exact, GRAM) @ _POWERS, WINDOW, EXACT)] if n >= GRAM else []
+    if not out or len(out[0]) < MIN_PRINTS:
+        out.append(_winnow((exact @ _powers(n))[None] + np.uint64(n), 1, WHOLE))
+    if n >= NAMELESS_GRAM:
+        out.append(_winnow(_nameless_grams(tokens, exact), NAMELESS_WINDOW, NAMELESS))
+    return np.concatenate(out)
 
 
 def _signals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,9 +299,10 @@ def file_signals(files: DataFrame, repositories: DataFrame) -> DataFrame:
 def not_handwritten(files: DataFrame, repositories: DataFrame) -> DataFrame:
     """One row for each id that is generated, minified, third_party or data: id, these four flags and copied_share.
 
-    The token stream of each file (no comments, no white space) is fingerprinted by winnowing. A fingerprint recurs
-    widely if at least MIN_REPOS repositories of at least MIN_OWNERS owners hold it; a file is a vendored copy if at
-    least MIN_SHARE of its fingerprints do. Whatever is a file's own evidence (path, leading comments, squeezed code,
+    The token stream of each file (no comments, no white space) is fingerprinted by winnowing, as it stands and with
+    names and literals normalized. A fingerprint recurs widely if at least MIN_REPOS repositories of at least MIN_OWNERS
+    owners hold it; a file is a vendored copy if at least MIN_SHARE of its fingerprints of either stream do, or the hash
+    of its whole stream where it is short. copied_share is the greatest of these shares. Whatever is a file's own evidence (path, leading comments, squeezed code,
     literal data, numbered repetition) comes from the same pass over its tokens. Null sources are judged by their path;
     a repository without owner takes no copyright line as foreign; repeated rows count once; an empty table gives no
     rows; extra columns are ignored. A fingerprint held by very many files is counted after distinct (fingerprint,
@@ -247,9 +313,14 @@ def not_handwritten(files: DataFrame, repositories: DataFrame) -> DataFrame:
     where = prints.select("p", "repo_id", "owner").distinct()
     wide = where.groupBy("p").agg(F.count(F.lit(1)).alias("repos"), F.count_distinct("owner").alias("owners")).where((F.col("repos") >= MIN_REPOS) & (F.col("owners") >= MIN_OWNERS)).select("p")
     wide = materialise(wide, "prints")
-    hits = prints.join(maybe_broadcast(wide), "p", "left_semi").groupBy("id").agg(F.count_distinct("p").alias("hits"))
+    kinds = {"exact": EXACT, "nameless": NAMELESS, "whole": WHOLE}
+    of_kind = lambda k: lambda p: p.bitwiseAND(F.lit(3)) == k
+    hits = prints.join(maybe_broadcast(wide), "p", "left_semi").select("id", "p").distinct().groupBy("id").agg(*[F.count_if(of_kind(k)(F.col("p"))).alias(f"hits_{c}") for c, k in kinds.items()])
     flags = ["generated", "minified", "third_party", "data"]
-    each = found.groupBy("id").agg(*[F.bool_or(f).alias(f) for f in flags], F.max(F.size("prints")).alias("n"))
-    judged = each.join(hits, "id", "left").withColumn("copied_share", F.round(F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0)), 6))
-    copied = (F.col("n") >= MIN_PRINTS) & (F.col("copied_share") >= MIN_SHARE)
+    sizes = [F.max(F.size(F.filter("prints", of_kind(k)))).alias(f"n_{c}") for c, k in kinds.items()]
+    each = found.groupBy("id").agg(*[F.bool_or(f).alias(f) for f in flags], *sizes)
+    judged = each.join(hits, "id", "left")
+    share = {c: F.when(F.col(f"n_{c}") > 0, F.coalesce(F.col(f"hits_{c}") / F.col(f"n_{c}"), F.lit(0.0))).otherwise(0.0) for c in kinds}
+    judged = judged.withColumn("copied_share", F.round(F.greatest(*share.values()), 6))
+    copied = (share["whole"] >= 1) | ((F.col("n_exact") >= MIN_PRINTS) & (share["exact"] >= MIN_SHARE)) | ((F.col("n_nameless") >= MIN_PRINTS) & (share["nameless"] >= MIN_SHARE))
     return judged.withColumn("third_party", F.col("third_party") | copied).where("generated or minified or third_party or data").select("id", *flags, "copied_share")
