@@ -138,9 +138,9 @@ def _latin_share(x: str) -> bool:
     return len(w) >= 8 and sum(t in _LATIN for t in w) >= 0.5 * len(w) and len({t for t in w if t in _LATIN and len(t) > 3}) >= 4
 
 
-#: Without one of these stems a line is no message; they only save time.
+#: Without one of these stems an ASCII line is no message: each alternative of the patterns holds one. They only save time.
 _STEMS = (
-    "script skript browser captcha human error fehler erreur found denied forbidden unauthori unavailable timeout time-out time_out too_many gone not_allowed accept conflict payment proxy connection too_l not_impl teapot exist moved available matches wrong permission access allowed session address removed public server sign_in log_in seite adresse zugriff berechtig rechte dienst page acces acc\u00e8s veuillez service p\u00e1gina pagina direcci acceso permiso servicio maintenance occurred upstream text copy here publish hier aqu quick_brown write written filled describe goes bad_request bad_gateway timed"
+    "script skript browser captcha human error fehler erreur found denied forbidden unauthori unavailable timeout time-out time_out too_many gone not_allowed accept conflict payment proxy connection too_l not_impl teapot exist moved available matches wrong permission access allowed session address removed public server sign_in log_in seite adresse zugriff berechtig rechte dienst page acces acc\u00e8s veuillez service p\u00e1gina pagina direcci acceso permiso servicio maintenance occurred upstream text copy here publish hier aqu quick_brown write written filled describe goes bad_request bad_gateway timed lorem blind dummy sample filler placeholder document authori permitted right blocked requests"
 ).split()
 _STEMS = tuple(x.replace("_", " ") for x in _STEMS)
 _STATUS_NUMBER = re.compile(r"[45]\d\d")
@@ -156,7 +156,7 @@ def message_kind(line: str) -> str | None:
             return "error_page"
         if _FILLER.search(line) or _INSTRUCTION.search(line):
             return "filler"
-    if len(line) >= 24 and (_repeated_words(low) or _latin_share(low)):
+    if len(line) >= 15 and (_repeated_words(low) or _latin_share(low)):  # eight words have 15 characters
         return "filler"
     return None
 

@@ -4,6 +4,7 @@ import random
 import re
 
 from loomfacts.llm import handwritten as H
+from loomfacts.llm import residue as R
 
 
 def code(seed: int, functions: int) -> str:
@@ -26,3 +27,21 @@ def test_short_renamed_and_touched_copies_are_found(spark):
     assert copied(spark, ["package main"] * 3 + [""] * 3) == set()
     touched = ["\n".join(f"{x} // own" if i % 12 else f"let own{k} = {i}; {x}" for i, x in enumerate(long.split("\n"))) for k in range(3)]
     assert copied(spark, touched) == {0, 1, 2}
+
+
+MESSAGES = {
+    "filler": """Lorem ipsum dolor sit amet.|This is placeholder content.|Dummy paragraph|Sample copy only|Filler text here|xx xx xx xx xx xx xx xx|This copy only fills space|Replace before publishing|Your title here|Blindtext|Platzhaltertext
+        Hier steht Ihr Text|Texte factice|Votre texte ici|Texto de relleno|Su texto aqui|Faux texte|The quick brown fox jumps|Write two sentences about it|Image goes here|Insert your name here|Describe your work here|To be filled in""",
+    "error_page": """We cannot find this document.|You are not authorized to view this file.|You do not have the right to open it.|You do not have the right to view it.|Your IP has been blocked.|Your client sent too many requests|Your network sent more requests|You are not permitted to see it|You are not authorised to open it|The url has moved
+        The site is not available|The view doesn't exist|The resource was not found|We couldn't find your page|No route matches this url|Oops! Something went wrong|Sorry, an error|Something went wrong on our end|You don't have permission to see it|Your session has ended|This file was removed|Is no longer public|We are down for maintenance
+        An error occurred|The upstream did not respond|Temporarily unavailable|The server did not answer|Sign in to continue|Log in again to continue|TemplateError: x|Seite nicht gefunden|Die angeforderte Adresse|Zugriff verweigert|Interner Serverfehler|Sie haben keine Rechte|Sie haben keine Berechtigung|Page introuvable|Acces interdit
+        Erreur interne du serveur|La page demandee|Veuillez vous connecter|Service indisponible|Pagina no encontrada|La direccion solicitada|Acceso denegado|Error interno del servidor|No tiene permiso|Servicio no disponible|Not found|Permission denied|Access is forbidden|Unauthorised|Bad request|Server error|Bad gateway|Gateway timeout
+        Request time-out|Too many requests|Gone|Method not allowed|Not acceptable|Conflict|Payment required|Proxy error|Connection reset|Connection timed out|Payload too large|URI too long|Not implemented|I'm a teapot|HTTP 418|{"error": "x is not found"}|<h1>Forbidden</h1>""",
+    "script_notice": """Enable scripting|Needs JavaScript to work|Scripts are disabled|JavaScript required:|Does not support JavaScript|Skripte aktivieren|Activer les scripts|Requiere JavaScript|<noscript>|Checking your browser before you enter|Verify you are human|Complete the captcha""",
+}
+
+
+def test_every_message_passes_the_stems():
+    for kind, lines in MESSAGES.items():
+        for x in (y.strip() for line in lines.split("\n") for y in line.split("|")):
+            assert R.message_kind(x) == kind, x
