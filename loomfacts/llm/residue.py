@@ -24,10 +24,15 @@ _QUOTED = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“”\n]{1
 _SHOWN_LINE = re.compile(
     r"""(?ix)^\s*(?:
     \d{4}-\d\d-\d\d[T\ ]\d | \[?\d{1,2}:\d\d:\d\d | \[?(?:info|warn|warning|debug|trace|error|fatal)\b\]?[\s:]+(?=.*=) | usage\s*: | \$\s | //|/\*|\#include | --\w
-    | .*\s--[a-z][\w-]*[\s=]  | (?:const|let|var|func|function|return|import|export|package|if|for|while|switch|case|type)\b.*[{;=(]\s*(?:$|\S) | [\w.\[\]]+\s*:?=\s*\S+.*[;){\]]\s*$ | [})\]];?\s*$
+    | .*\s--[a-z][\w-]*[\s=]  | [\w.\[\]]+\s*:?=\s*\S+.*[;){\]]\s*$ | [})\]];?\s*$
     )"""
 )
 _QUOTE = "\x02"
+# A sentence that begins with a word of a language is code only with the structure of code, placeholders being masked.
+_CODE_WORD = re.compile(r"(?i)\s*(?:const|let|var|func|function|return|import|export|package|if|for|while|switch|case|type)\b")
+_CODE_FORM = re.compile(
+    r"""(?ix)[;{}]\s*$ | \s(?:[:+\-*/|&]?=|=>|==+|!==?)(?:\s|$|\x02) | \w\((?!e?s\)) | ^\s*(?:if|for|while|switch)\s*\((?:[^()]*[=<>!&|;] | \s*[\w.$]+\s*\)\s*(?:[{;]|$|return\b)) | ^\s*(?:import|export)\s*[{*(] | ^\s*(?:return|case)\s*[\[{(\x02]"""
+)
 
 # Forms in which template languages write a name that is to be replaced.
 _NAME = r"[A-Za-z_][\w.\- ]{0,40}?"
@@ -100,6 +105,14 @@ _INVISIBLE = re.compile(r"<\|[A-Za-z_]{2,40}\|>|</?(?:s|pad|unk|mask|bos|eos|cls
 _LATIN_MARKS = re.compile(r"(?<=[A-Za-z])[\u0300-\u036f]+")
 
 
+def _is_code(line: str) -> bool:
+    """Whether the first sentence of the line begins with a word of a language and has the structure of code."""
+    if not _CODE_WORD.match(line):
+        return False
+    bare = _QUOTED.sub(_QUOTE, _INLINE.sub(_QUOTE, line))
+    return bool(_CODE_FORM.search(_SPLIT.split(_STRONG.sub("\x01", bare))[0]))
+
+
 def content_lines(text: str) -> list[str]:
     """Lines of a text, without code and with quotes emptied; lines that show something (logs, usage, code) left out.
 
@@ -115,7 +128,7 @@ def content_lines(text: str) -> list[str]:
             continue
         if x[0] in "{<" and (_ERROR_JSON.match(x) or re.search(r"(?i)<(?:title|h1|noscript)>", x)):
             out.append(x)
-        elif not _SHOWN_LINE.match(x):
+        elif not _SHOWN_LINE.match(x) and not _is_code(x):
             if "`" in x:
                 x = _INLINE.sub(_QUOTE, x)
             if any(c in x for c in _QUOTES):
@@ -185,11 +198,15 @@ def _template_id(template: str) -> int:
     return xxhash.xxh64_intdigest(template.encode("utf-8", "replace")) - (1 << 63)
 
 
+# Scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han).
+_UNSPACED = re.compile(r"[\u0e01-\u0edf\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+
+
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for doc, text in zip(b["doc_id"], b["text"]):
-            if not text or len(text) < 12 and len(text.split()) < 2:
+            if not text or len(text) < 12 and len(text.split()) < 2 and not _UNSPACED.search(text):
                 continue
             for line in content_lines(text):
                 kind = message_kind(line) or message_kind(_unmarked(line)) if not line.isascii() else message_kind(line)
@@ -208,7 +225,8 @@ def residue_units(documents: DataFrame) -> DataFrame:
     """The places of ``documents`` which may be residue: doc_id, kind, template (a hash), slot, filler.
 
     A message (kind filler, error_page or script_notice) has the filler m; a sentence with placeholder or failed value
-    gives a row for each of its slots. Null, empty, blank and one-word texts give none.
+    gives a row for each of its slots. Null, empty, blank and one-word texts give none;
+    a text without spaces is one word only in scripts that put them.
     """
     return spread(documents.select("doc_id", "text").where(F.col("text").isNotNull())).mapInPandas(_units, "doc_id long, kind string, template long, slot long, filler string")
 

@@ -45,3 +45,10 @@ def test_every_message_passes_the_stems():
     for kind, lines in MESSAGES.items():
         for x in (y.strip() for line in lines.split("\n") for y in line.split("|")):
             assert R.message_kind(x) == kind, x
+
+
+def test_prose_that_begins_like_code_is_read(spark):
+    prose = ["For {{customer_name}}, thanks for waiting.", "If you (the reader) see this: the page you requested does not exist.", "Import of ${FILE} failed.", "If {customer} is late, call us.", "Type your name(s) here; the page you requested does not exist.", "页面不存在", "访问被拒绝"]
+    code = ["const x = `a ${b} c`;", "if (x) { y(${z}) }", "return f(${NAME})", "import { a } from '{{b}}'", "export const a = ${A}", "func (s *X) f(a ${T}) {", "for (const x of ${LIST}) {", "word", "词"]
+    d = spark.createDataFrame(list(enumerate(prose + code)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in R.residue_documents(d).collect()) == list(range(len(prose)))
