@@ -16,6 +16,9 @@ from .parse_check import spread
 
 #: A slot of a template counts as one for values if at least this share of its fillers are unfilled names.
 SLOT_SHARE = 0.2
+#: A page recurs if this many documents have its template; share of them that must hold a message, or a status of HTTP in
+#: the first line (of which there must be several), for the page to be one of an error.
+MIN_PAGES, PAGE_MESSAGES, PAGE_STATUSES = 3, 0.5, 0.9
 
 # What shows or discusses a text instead of being it: code, quotes, log lines, usage lines.
 _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
@@ -202,15 +205,30 @@ def _template_id(template: str) -> int:
 _UNSPACED = re.compile(r"[\u0e01-\u0edf\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
+_HTTP_STATUS = re.compile(r"(?<![\w.,:/-])(?:40\d|41[0-8]|42[1-689]|431|451|50[0-8]|51[01])(?![\w%/-]|[.,:]\d)")
+
+
+def page_template(lines: list[str]) -> str:
+    """The template of a whole page: all its lines without slots and addresses."""
+    out = []
+    for x in lines:
+        if "/" in x or "@" in x:
+            x = " ".join("0" if "/" in w or "@" in w else w for w in x.split(" "))
+        out.append(slots(x)[0] if _MAY_BE_SLOT.search(x) else re.sub(r"\W+", " ", _NUMBER.sub(" 0 ", x.replace(_QUOTE, " 0 ")).casefold()).strip())
+    return "\n".join(out)
+
+
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for doc, text in zip(b["doc_id"], b["text"]):
             if not text or len(text) < 12 and len(text.split()) < 2 and not _UNSPACED.search(text):
                 continue
-            for line in content_lines(text):
+            lines, kinds = content_lines(text), set()
+            for line in lines:
                 kind = message_kind(line) or message_kind(_unmarked(line)) if not line.isascii() else message_kind(line)
                 if kind:
+                    kinds.add(kind)
                     rows.append((doc, kind, _template_id(slots(line)[0]), 0, "m"))
                 if _MAY_BE_SLOT.search(line):
                     for unit in _SPLIT.split(line):
@@ -218,6 +236,9 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if "s" in found or "w" in found:
                             t = _template_id(template)
                             rows += [(doc, "placeholder", t, i, k) for i, k in enumerate(found)]
+            if lines:
+                status = _HTTP_STATUS.search(lines[0])
+                rows.append((doc, "error_page" if "error_page" in kinds else "page", _template_id(page_template(lines)), int(status.group()) if status else 0, "p"))
         yield pd.DataFrame(rows, columns=["doc_id", "kind", "template", "slot", "filler"])
 
 
@@ -225,7 +246,8 @@ def residue_units(documents: DataFrame) -> DataFrame:
     """The places of ``documents`` which may be residue: doc_id, kind, template (a hash), slot, filler.
 
     A message (kind filler, error_page or script_notice) has the filler m; a sentence with placeholder or failed value
-    gives a row for each of its slots. Null, empty, blank and one-word texts give none;
+    gives a row for each of its slots; each page gives one with the filler p, its kind being error_page if it holds such a
+    message, else page, and its slot the status of HTTP in its first line, else 0. Null, empty, blank and one-word texts give none;
     a text without spaces is one word only in scripts that put them.
     """
     return spread(documents.select("doc_id", "text").where(F.col("text").isNotNull())).mapInPandas(_units, "doc_id long, kind string, template long, slot long, filler string")
@@ -233,7 +255,20 @@ def residue_units(documents: DataFrame) -> DataFrame:
 
 def induced_slots(units: DataFrame) -> DataFrame:
     """For each slot of each template, over all records of the template: unfilled names, failed values and other fillers."""
-    return units.where("filler != 'm'").groupBy("template", "slot").agg(F.count_if(F.col("filler") == "s").alias("names"), F.count_if(F.col("filler") == "w").alias("failed"), F.count_if(F.col("filler").isin("v", "q")).alias("values"), F.count(F.lit(1)).alias("n"))
+    return units.where("filler not in ('m', 'p')").groupBy("template", "slot").agg(F.count_if(F.col("filler") == "s").alias("names"), F.count_if(F.col("filler") == "w").alias("failed"), F.count_if(F.col("filler").isin("v", "q")).alias("values"), F.count(F.lit(1)).alias("n"))
+
+
+def error_templates(units: DataFrame) -> DataFrame:
+    """Templates of whole pages which recur and are judged to be error pages by what all their records hold: template.
+
+    Either enough of the records hold a message of an error page, or nearly all have a status of HTTP in the first line,
+    and not all the same, as a number that is a slot of the server's page has.
+    """
+    one = units.where("filler = 'p'").groupBy("template", "doc_id").agg(F.max(F.col("kind") == "error_page").alias("message"), F.max("slot").alias("status"))
+    n = F.count(F.lit(1))
+    seen = one.groupBy("template").agg(n.alias("n"), F.count_if("message").alias("messages"), F.count_if(F.col("status") > 0).alias("statuses"), F.max("status").alias("most"), F.min(F.when(F.col("status") > 0, F.col("status"))).alias("least"))
+    by_status = (F.col("statuses") >= PAGE_STATUSES * F.col("n")) & (F.col("most") > F.col("least"))
+    return seen.where((F.col("n") >= MIN_PAGES) & ((F.col("messages") >= PAGE_MESSAGES * F.col("n")) | by_status)).select("template")
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
@@ -242,15 +277,16 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     Sentences are aligned by their template (all but their slots). A slot that retains a variable name is residue; a
     failed value, default or blank (undefined, null, TBD, ...) is residue only in a slot which in at least SLOT_SHARE
     of the records of its template retains a name, so that a sentence about null values is none. Messages of error
-    pages, filler and script notices are residue where a line is such a message itself. Code, quotes, log lines and
-    usage lines are left out before. Null, empty, blank and one-word texts, and an empty table, give no rows; repeated
+    pages, filler and script notices are residue where a line is such a message itself; a page in any wording is
+    one if its template recurs and is judged an error page (``error_templates``). Code, quotes, log lines and usage lines are left out before. Null, empty, blank and one-word texts, and an empty table, give no rows; repeated
     rows give one row a doc_id; extra columns are ignored.
     """
     units = materialise(residue_units(documents), "residue")
     open_slots = induced_slots(units).where(F.col("names") >= SLOT_SHARE * F.col("n")).select("template", "slot")
     retained = units.where("filler = 'm' or filler = 's'").select("doc_id", "kind")
     failed = units.where("filler = 'w'").join(maybe_broadcast(open_slots), ["template", "slot"], "left_semi").select("doc_id", "kind")
-    return retained.unionByName(failed).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    pages = units.where("filler = 'p'").join(maybe_broadcast(error_templates(units)), "template", "left_semi").select("doc_id", F.lit("error_page").alias("kind"))
+    return retained.unionByName(failed).unionByName(pages).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def repeated_pages(documents: DataFrame, least: int = 2) -> DataFrame:

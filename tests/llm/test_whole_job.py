@@ -52,3 +52,9 @@ def test_prose_that_begins_like_code_is_read(spark):
     code = ["const x = `a ${b} c`;", "if (x) { y(${z}) }", "return f(${NAME})", "import { a } from '{{b}}'", "export const a = ${A}", "func (s *X) f(a ${T}) {", "for (const x of ${LIST}) {", "word", "词"]
     d = spark.createDataFrame(list(enumerate(prose + code)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in R.residue_documents(d).collect()) == list(range(len(prose)))
+
+
+def test_recurring_error_pages_in_any_wording(spark):
+    pages = [f"Feil {n}\n\nSiden /a/{n}.html finnes ikke." for n in (404, 410, 404, 503)] + [f"Rom {n}\n\nMøtet er i etasje {n}." for n in (404, 112, 503, 97)] + ["Feil 404\n\nAlene"]
+    d = spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string")
+    assert sorted((r["doc_id"], *r["kinds"]) for r in R.residue_documents(d).collect()) == [(i, "error_page") for i in range(4)]
