@@ -76,16 +76,21 @@ def leading_comments(source: str) -> str:
         at = m.end()
 
 
-_TRAILING = re.compile(r"(?:\s*(?:^[ \t]*//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/))+\s*\Z", re.M)
-
-
 def trailing_comments(source: str) -> str:
-    """The comments after the last token of code, where tools put their notice now and then."""
+    """The comments after the last token of code, where tools put their notice now and then.
+
+    A comment on the line of the last token is not one of them unless it is a block.
+    """
     last = source.rstrip()
     if not last.endswith("*/") and not last[last.rfind("\n") + 1 :].lstrip().startswith("//"):
         return ""
-    m = _TRAILING.search(source, max(0, len(source) - 2000))
-    return m.group() if m else ""
+    first = end = None  # the first comment after the last token, and the end of that token
+    for m in _TOKEN.finditer(source):
+        if not m.group().startswith(("//", "/*")):
+            first, end = None, m.end()
+        elif first is None and (m.group().startswith("/*") or end is None or "\n" in source[end : m.start()]):
+            first = m.start()
+    return source[first:] if first is not None else ""
 
 
 def _plain(name: str) -> str:
@@ -94,7 +99,7 @@ def _plain(name: str) -> str:
 
 def head_signals(source: str, owner: str | None) -> tuple[bool, bool]:
     """Whether the leading or trailing comments say that a program wrote the file, or that others than the owner did."""
-    head = leading_comments(source)[:4000] + "\n" + trailing_comments(source)
+    head = leading_comments(source) + "\n" + trailing_comments(source)
     if not head.strip():
         return False, False
     generated = bool(_GENERATED_HEAD.search(head))

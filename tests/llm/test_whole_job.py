@@ -58,3 +58,11 @@ def test_recurring_error_pages_in_any_wording(spark):
     pages = [f"Feil {n}\n\nSiden /a/{n}.html finnes ikke." for n in (404, 410, 404, 503)] + [f"Rom {n}\n\nMøtet er i etasje {n}." for n in (404, 112, 503, 97)] + ["Feil 404\n\nAlene"]
     d = spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string")
     assert sorted((r["doc_id"], *r["kinds"]) for r in R.residue_documents(d).collect()) == [(i, "error_page") for i in range(4)]
+
+
+def test_long_comments_are_read_whole():
+    licence = "".join(f" * term {i} of a licence\n" for i in range(600))
+    assert H.head_signals(f"/*\n{licence} */\n// Code generated by x. DO NOT EDIT.\nlet a\n", "Own Co") == (True, False)
+    assert H.head_signals(f"/*\n{licence} * Copyright 2015 Other Project\n */\nlet a\n", "Own Co") == (False, True)
+    assert H.head_signals(f"let a\n/*\n * @generated by x\n{licence} */\n", "Own Co") == (True, False)
+    assert H.head_signals("let a = '/*' // @generated\nlet b // @generated by x\n", "Own Co") == (False, False)
