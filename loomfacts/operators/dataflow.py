@@ -90,7 +90,7 @@ def slice_graph(edges: DataFrame, seeds: DataFrame, kinds: list[str], backward:
     return kept, edges.sparkSession.createDataFrame([(status, n)], "status string, nodes long")
 
 
-def bottom_up_summaries(calls: DataFrame, own: DataFrame, components: DataFrame, most_rounds: int = 100) -> DataFrame:
+def bottom_up_summaries(calls: DataFrame, own: DataFrame, components: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """For each function the union of its own effects and those of all it calls: function, effect.
 
     calls (caller, callee); own (function, effect); components (node, component) of the call graph. Functions of one
@@ -102,7 +102,9 @@ def bottom_up_summaries(calls: DataFrame, own: DataFrame, components: DataFrame,
     linked = at.join(c.withColumnRenamed("function", "callee").withColumnRenamed("component", "b"), "callee", "left")
     edges = maybe_broadcast(linked.where("b is not null and a <> b").select("a", "b").distinct())
     facts = own.join(c, "function").select("component", "effect").unionByName(linked.where("b is null").select(F.col("a").alias("component"), F.lit("unresolved").alias("effect")))
-    closed, _ = frontier(facts.distinct(), lambda new: new.join(edges, F.col("component") == F.col("b")).select(F.col("a").alias("component"), "effect"), ["component", "effect"], most_rounds)
+    closed, ended = frontier(facts.distinct(), lambda new: new.join(edges, F.col("component") == F.col("b")).select(F.col("a").alias("component"), "effect"), ["component", "effect"], most_rounds)
+    if not ended:
+        raise RuntimeError(f"not finished after {most_rounds} rounds")
     return c.join(closed, "component").select("function", "effect")
 
 

@@ -2,24 +2,34 @@
 
 Each round joins only the rows that are new with the edges, so the work follows the new rows, not all pairs. A round ends
 as a table in the shared folder: lineage stays short and a lost executor loses nothing. The edge table is broadcast only if
-its size allows. Loops stop when nothing new comes or a bound is reached, and say which. Null ends of edges are left out,
+its size allows. Loops stop when nothing new comes. A bound holds only where the caller asks for one; a loop
+that reaches it says so or raises. Null ends of edges are left out,
 repeated edges count once, empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, maybe_broadcast
 
-#: Rounds after which a loop gives up, where none is asked for.
-MOST_ROUNDS = 100
+#: Rounds after which a loop gives up, where none is asked for: none, it goes on until nothing is new.
+MOST_ROUNDS = None
+#: Rounds after which the rows seen are written as one table.
+JOINED_ROUNDS = 32
 
 
-def frontier(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: Sequence[str], most_rounds: int = MOST_ROUNDS, order: Sequence[Column] = ()) -> tuple[DataFrame, bool]:
+def rounds(most: int | None) -> Iterator[int]:
+    """Numbers of rounds; raises if the loop is not left before the bound."""
+    yield from count() if most is None else range(most)
+    raise RuntimeError(f"not finished after {most} rounds")
+
+
+def frontier(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: Sequence[str], most_rounds: int | None = MOST_ROUNDS, order: Sequence[Column] = ()) -> tuple[DataFrame, bool]:
     """All rows that ``step`` reaches from ``seed``, one for each ``key``, and whether the loop ended by itself.
 
     Of several new rows of a key the first in ``order`` is kept (any, if there is no order); a key that is known already
@@ -32,11 +42,13 @@ def frontier(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: Seque
 
     new = materialise(once(seed), "round")
     seen = new
-    for _ in range(most_rounds):
+    for i in count() if most_rounds is None else range(most_rounds):
         new = materialise(once(step(new)).join(seen.select(*key), list(key), "left_anti"), "round")
         if new.isEmpty():
             return seen, True
         seen = seen.unionByName(new)
+        if i % JOINED_ROUNDS == JOINED_ROUNDS - 1:
+            seen = materialise(seen, "round")
     return seen, step(new).join(seen.select(*key), list(key), "left_anti").isEmpty()
 
 
@@ -44,13 +56,13 @@ def _edges(edges: DataFrame) -> DataFrame:
     return maybe_broadcast(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
 
 
-def reachable(edges: DataFrame, starts: DataFrame, include_start_on_cycle: bool = False, most_depth: int = MOST_ROUNDS) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, include_start_on_cycle: bool = False, most_depth: int | None = MOST_ROUNDS) -> DataFrame:
     """start, node and least depth of each node that a walk of at least one edge reaches from ``starts`` (column node).
 
     The start itself is left out, or with ``include_start_on_cycle`` comes out if it lies on a cycle. No depth: no rows.
     """
     e = _edges(edges)
-    if most_depth < 1:
+    if most_depth is not None and most_depth < 1:
         return starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).limit(0)
     first = starts.select(F.col("node").alias("start")).distinct().join(e, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(1).alias("depth"))
     skip = F.lit(True) if include_start_on_cycle else F.col("node") != F.col("start")
@@ -58,10 +70,10 @@ def reachable(edges: DataFrame, starts: DataFrame, include_start_on_cycle: bool
     def step(new: DataFrame) -> DataFrame:
         return new.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).where(skip)
 
-    return frontier(first.where(skip), step, ["start", "node"], most_depth - 1)[0]
+    return frontier(first.where(skip), step, ["start", "node"], None if most_depth is None else most_depth - 1)[0]
 
 
-def closure_with_worst(edges: DataFrame, trust: str, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def closure_with_worst(edges: DataFrame, trust: str, most_rounds: int | None = MOST_ROUNDS) -> DataFrame:
     """src, dst and the trust of each pair joined by a walk: the best over walks of the worst rank on the walk.
 
     ``trust`` is a numeric column of the edges, greater being worse. Label-correcting: a pair goes into the next round
@@ -70,7 +82,7 @@ def closure_with_worst(edges: DataFrame, trust: str, most_rounds: int = MOST_ROU
     e = maybe_broadcast(edges.where("src is not null and dst is not null and src <> dst").groupBy("src", "dst").agg(F.min(trust).alias("w")))
     best = materialise(e.select("src", "dst", "w"), "closure")
     new = best
-    for _ in range(most_rounds):
+    for _ in rounds(most_rounds):
         longer = new.alias("n").join(e.alias("e"), F.col("n.dst") == F.col("e.src")).where("n.src <> e.dst").groupBy(F.col("n.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.min(F.greatest("n.w", "e.w")).alias("w"))
         better = longer.join(best.select("src", "dst", F.col("w").alias("old")), ["src", "dst"], "left").where("old is null or w < old").drop("old")
         new = materialise(better, "closure")
@@ -122,7 +134,7 @@ def chop(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
     return side(e, sources).join(side(back, sinks), "node", "left_semi")
 
 
-def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = MOST_ROUNDS) -> DataFrame:
     """node and component (its least node) of an undirected graph, by hashing to the least neighbour in alternating stars.
 
     Each round links every node to the least node around it, first the greater neighbours, then all, so that the number
@@ -131,7 +143,7 @@ def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """
     pairs = materialise(edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
-    for _ in range(most_rounds):
+    for _ in rounds(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -144,7 +156,7 @@ def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     return nodes.join(pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def strong_components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def strong_components(edges: DataFrame, most_rounds: int | None = MOST_ROUNDS) -> DataFrame:
     """node and component (its least node) of a directed graph.
 
     Colouring: the least node that reaches each node is its colour; what can reach the colour's node inside the colour
@@ -153,7 +165,7 @@ def strong_components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataF
     e = materialise(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "scc")
     left = materialise(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "scc")
     found: DataFrame | None = None
-    for _ in range(most_rounds):
+    for _ in rounds(most_rounds):
         colour = materialise(left.select("node", F.col("node").alias("colour")), "scc")
         changed = colour
         while not changed.isEmpty():
@@ -172,7 +184,7 @@ def strong_components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataF
     return found if found is not None else left.select("node", F.col("node").alias("component"))
 
 
-def points_to(allocations: DataFrame, copies: DataFrame, stores: DataFrame | None = None, loads: DataFrame | None = None, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def points_to(allocations: DataFrame, copies: DataFrame, stores: DataFrame | None = None, loads: DataFrame | None = None, most_rounds: int | None = MOST_ROUNDS) -> DataFrame:
     """variable and object of an inclusion-based analysis.
 
     allocations (variable, object); copies (src, dst): dst holds what src holds; stores (base, src): what src holds goes
@@ -183,7 +195,7 @@ def points_to(allocations: DataFrame, copies: DataFrame, stores: DataFrame | Non
     contents = F.concat(F.col("object").cast("string"), F.lit(".$contents"))
     facts = materialise(allocations.where("variable is not null and object is not null").select(F.col("variable").cast("string").alias("variable"), F.col("object").cast("string").alias("object")).distinct(), "pts")
     new, derived = facts, e.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-    for _ in range(most_rounds):
+    for i in rounds(most_rounds):
         fresh_edges = None
         for table, left, right in ((stores, "src", None), (loads, None, "dst")):
             if table is None:
@@ -200,6 +212,8 @@ def points_to(allocations: DataFrame, copies: DataFrame, stores: DataFrame | Non
         if new.isEmpty():
             break
         facts = facts.unionByName(new)
+        if i % JOINED_ROUNDS == JOINED_ROUNDS - 1:
+            facts, derived = materialise(facts, "pts"), materialise(derived, "pts")
     return facts
 
 
@@ -225,7 +239,7 @@ def alias_pairs(sets: DataFrame, variable: str, element: str) -> DataFrame:
     return own.unionByName(pairs.withColumn("relation", F.lit("may")))
 
 
-def rapid_types(roots: DataFrame, static_calls: DataFrame, dynamic_calls: DataFrame, instantiations: DataFrame, methods: DataFrame, most_rounds: int = 32) -> tuple[DataFrame, DataFrame]:
+def rapid_types(roots: DataFrame, static_calls: DataFrame, dynamic_calls: DataFrame, instantiations: DataFrame, methods: DataFrame, most_rounds: int | None = MOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Reached functions and resolved dynamic edges of a rapid type analysis.
 
     roots (function); static_calls (caller, callee); dynamic_calls (caller, site, method); instantiations (function,
@@ -234,7 +248,7 @@ def rapid_types(roots: DataFrame, static_calls: DataFrame, dynamic_calls: DataFr
     """
     reached = materialise(roots.select("function").distinct(), "rta")
     resolved: DataFrame | None = None
-    for _ in range(most_rounds):
+    for _ in rounds(most_rounds):
         types = instantiations.join(reached, "function", "left_semi").select("type").distinct()
         live = dynamic_calls.join(reached.withColumnRenamed("function", "caller"), "caller", "left_semi")
         resolved = live.join(methods.join(types, "type", "left_semi"), "method").select("caller", "site", F.col("function").alias("callee"), "type").distinct()
@@ -250,7 +264,7 @@ def rapid_types(roots: DataFrame, static_calls: DataFrame, dynamic_calls: DataFr
 ACTIONS = {"reuse": 0, "verify": 1, "recompute": 2, "quarantine": 3, "drop": 4}
 
 
-def invalidate(nodes: DataFrame, depends_on: DataFrame, changes: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def invalidate(nodes: DataFrame, depends_on: DataFrame, changes: DataFrame, most_rounds: int | None = MOST_ROUNDS) -> DataFrame:
     """node and action of each node: the strongest action that reaches it along its dependencies, reuse where none does.
 
     changes (node, action); depends_on (node, input). A change goes on to what depends on the changed node.
@@ -259,7 +273,7 @@ def invalidate(nodes: DataFrame, depends_on: DataFrame, changes: DataFrame, most
     e = maybe_broadcast(depends_on.where("node is not null and input is not null").select("node", "input").distinct())
     best = materialise(changes.groupBy("node").agg(F.max(order).alias("r")), "inv")
     new = best
-    for _ in range(most_rounds):
+    for _ in rounds(most_rounds):
         told = new.withColumnRenamed("node", "input").join(e, "input").groupBy("node").agg(F.max("r").alias("r"))
         new = materialise(told.join(best.select("node", F.col("r").alias("old")), "node", "left").where("old is null or r > old").select("node", "r"), "inv")
         if new.isEmpty():
