@@ -1,8 +1,8 @@
 """Control-flow facts of many small graphs at once: reachability, dominators, post-dominators, control dependence.
 
 A graph is the edges of one function. Its blocks are few and the analyses need them together, so each function is one
-group of ``applyInPandas``; functions spread over the cluster. A size guard leaves out functions whose relation would be
-too large and reports them with the status budget_exceeded instead.
+group of ``applyInPandas``; functions spread over the cluster. A size guard leaves out functions whose relation could be
+too large and reports each by a row with the status budget_exceeded instead.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most pairs that the relations of one function may have.
+#: Most pairs (blocks squared) that the relation of one function may have, where the caller sets no other bound.
 MOST_PAIRS = 250_000
 
 
@@ -98,23 +98,29 @@ def _one(edges: pd.DataFrame, entry: object, view: str) -> list[tuple]:
     return sorted(set(out))
 
 
-def control_flow(edges: DataFrame, entries: DataFrame, view: str) -> DataFrame:
-    """function, block, other, immediate for a view of each function's graph.
+def control_flow(edges: DataFrame, entries: DataFrame, view: str, most_pairs: int | None = MOST_PAIRS) -> DataFrame:
+    """function, block, other, immediate and status for a view of each function's graph.
 
     edges (function, src, dst); entries (function, entry). Views: reachable (block twice, whether it is reachable),
     dominators and postdominators (block dominates other; whether immediately), dependence (other is controlled by an
-    edge out of block). Rows with nulls are left out; a function without edges gives no rows; one whose relation could
-    exceed MOST_PAIRS gives a single row with null blocks.
+    edge out of block). Rows with nulls are left out; a function without edges gives no rows. A function whose blocks
+    squared exceed ``most_pairs`` (None: no bound) gives a single row with null blocks and the status budget_exceeded; all
+    other rows have the status present.
     """
     kinds = dict(edges.dtypes)
-    schema = f"function {kinds['function']}, block {kinds['src']}, other {kinds['src']}, immediate boolean"
+    schema = f"function {kinds['function']}, block {kinds['src']}, other {kinds['src']}, immediate boolean, status string"
     clean = edges.where("function is not null and src is not null and dst is not null").select("function", "src", "dst").distinct().join(entries.dropDuplicates(["function"]), "function")
-    sizes = clean.groupBy("function").agg(F.count(F.lit(1)).alias("m"))
-    small = clean.join(sizes.where(F.col("m") * F.col("m") <= 4 * MOST_PAIRS), "function", "left_semi")
-    large = sizes.where(F.col("m") * F.col("m") > 4 * MOST_PAIRS).select("function", F.lit(None).cast(kinds["src"]).alias("block"), F.lit(None).cast(kinds["src"]).alias("other"), F.lit(None).cast("boolean").alias("immediate"))
+    small, large = clean, None
+    if most_pairs is not None:
+        blocks = clean.select("function", F.explode(F.array("src", "dst")).alias("b")).distinct().groupBy("function").agg(F.count(F.lit(1)).alias("m"))
+        wide = F.col("m") * F.col("m") > most_pairs
+        small = clean.join(blocks.where(~wide), "function", "left_semi")
+        none = F.lit(None).cast(kinds["src"])
+        large = blocks.where(wide).select("function", none.alias("block"), none.alias("other"), F.lit(None).cast("boolean").alias("immediate"), F.lit("budget_exceeded").alias("status"))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], *r) for r in _one(g, g["entry"].iloc[0], view)]
-        return pd.DataFrame(rows, columns=["function", "block", "other", "immediate"])
+        rows = [(key[0], *r, "present") for r in _one(g, g["entry"].iloc[0], view)]
+        return pd.DataFrame(rows, columns=["function", "block", "other", "immediate", "status"])
 
-    return small.groupBy("function").applyInPandas(run, schema).unionByName(large)
+    out = small.groupBy("function").applyInPandas(run, schema)
+    return out if large is None else out.unionByName(large)

@@ -15,12 +15,15 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, maybe_broadcast
+from ..session import materialise, materialise_counted, maybe_broadcast, release
+from .components import strong_groups
 
 #: Rounds after which a loop gives up, where none is asked for: none, it goes on until nothing is new.
 MOST_ROUNDS = None
-#: Rounds after which the rows seen are written as one table.
-JOINED_ROUNDS = 32
+#: Most edges of an undirected component whose strong components are found in one task.
+MOST_EDGES = 500_000
+#: Rounds after which the rows seen are written as one table and the tables of the rounds are removed.
+JOINED_ROUNDS = 12
 
 
 def rounds(most: int | None) -> Iterator[int]:
@@ -41,14 +44,18 @@ def frontier(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: Seque
         return d.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__r")
 
     new = materialise(once(seed), "round")
-    seen = new
+    seen, parts = new, [new]
     for i in count() if most_rounds is None else range(most_rounds):
-        new = materialise(once(step(new)).join(seen.select(*key), list(key), "left_anti"), "round")
-        if new.isEmpty():
+        new, about = materialise_counted(once(step(new)).join(seen.select(*key), list(key), "left_anti"), "round")
+        if not about["n"]:
+            release(new)
             return seen, True
         seen = seen.unionByName(new)
+        parts.append(new)
         if i % JOINED_ROUNDS == JOINED_ROUNDS - 1:
             seen = materialise(seen, "round")
+            release(*parts[:-1])  # the last one is what the next step goes on from
+            parts = [new, seen]
     return seen, step(new).join(seen.select(*key), list(key), "left_anti").isEmpty()
 
 
@@ -85,10 +92,11 @@ def closure_with_worst(edges: DataFrame, trust: str, most_rounds: int | None = M
     for _ in rounds(most_rounds):
         longer = new.alias("n").join(e.alias("e"), F.col("n.dst") == F.col("e.src")).where("n.src <> e.dst").groupBy(F.col("n.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.min(F.greatest("n.w", "e.w")).alias("w"))
         better = longer.join(best.select("src", "dst", F.col("w").alias("old")), ["src", "dst"], "left").where("old is null or w < old").drop("old")
-        new = materialise(better, "closure")
-        if new.isEmpty():
+        last, (new, about) = new, materialise_counted(better, "closure")
+        if not about["n"]:
             break
-        best = materialise(best.unionByName(new).groupBy("src", "dst").agg(F.min("w").alias("w")), "closure")
+        old, best = best, materialise(best.unionByName(new).groupBy("src", "dst").agg(F.min("w").alias("w")), "closure")
+        release(old, last)
     return best.withColumnRenamed("w", trust)
 
 
@@ -141,7 +149,8 @@ def components(edges: DataFrame, most_rounds: int | None = MOST_ROUNDS) -> DataF
     of rounds follows the logarithm of the size; a star's centre may have very many rows, but is only a grouping value
     of a ``min`` with partial aggregation, never a list.
     """
-    pairs = materialise(edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
+    digest = F.bit_xor(F.xxhash64("u", "v"))
+    pairs, before = materialise_counted(edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars", digest=digest)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
     for _ in rounds(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -149,39 +158,80 @@ def components(edges: DataFrame, most_rounds: int | None = MOST_ROUNDS) -> DataF
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.withColumnRenamed("m", "v")).distinct()
-        new = materialise(small.where("u <> v"), "stars")
-        if new.exceptAll(pairs).isEmpty() and pairs.exceptAll(new).isEmpty():
-            break
+        new, after = materialise_counted(small.where("u <> v"), "stars", digest=digest)
+        release(pairs)
         pairs = new
+        if before == after:  # as many pairs and the same digest: nothing has moved
+            break
+        before = after
     return nodes.join(pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def strong_components(edges: DataFrame, most_rounds: int | None = MOST_ROUNDS) -> DataFrame:
+def strong_components(edges: DataFrame, most_rounds: int | None = MOST_ROUNDS, most_edges: int = MOST_EDGES) -> DataFrame:
     """node and component (its least node) of a directed graph.
 
-    Colouring: the least node that reaches each node is its colour; what can reach the colour's node inside the colour
-    is its component. Components found are taken out and the rest is coloured again.
+    A strong component lies inside one component of the undirected graph. Undirected components of at most
+    ``most_edges`` edges are solved in a task each (``components.strong_groups``). Larger ones are cut down first: nodes without an
+    edge in or out are components of their own and are peeled off, then the rest is coloured (the least node that reaches
+    a node is its colour, and what can reach the colour's node inside the colour is its component), and so on.
     """
-    e = materialise(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "scc")
+    e, about = materialise_counted(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "scc")
+    weak = materialise(components(e), "scc")
+    at = e.join(weak.select(F.col("node").alias("src"), F.col("component").alias("part")), "src")
+    sizes = at.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+    # Many small components share a task: on average a quarter of the edges that a single one may have.
+    share = F.pmod(F.xxhash64("part"), F.lit(max(8, 4 * about["n"] // most_edges))).cast("int")
+    small = at.join(sizes.where(F.col("m") <= most_edges), "part", "left_semi").withColumn("share", share)
+    found = strong_groups(small, "share").select("node", "component")
+    large, about = materialise_counted(at.join(sizes.where(F.col("m") > most_edges), "part", "left_semi").select("src", "dst"), "scc")
+    return found if not about["n"] else found.unionByName(_coloured(large, most_rounds))
+
+
+def _coloured(e: DataFrame, most_rounds: int | None) -> DataFrame:
     left = materialise(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "scc")
     found: DataFrame | None = None
     for _ in rounds(most_rounds):
-        colour = materialise(left.select("node", F.col("node").alias("colour")), "scc")
-        changed = colour
-        while not changed.isEmpty():
-            told = changed.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
-            changed = materialise(colour.join(told, "node").where("c < colour").select("node", F.col("c").alias("colour")), "scc")
-            colour = materialise(colour.join(changed.select("node", F.col("colour").alias("c")), "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour")), "scc")
-        inside = e.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst", "a")
-        back = materialise(inside, "scc")
-        members, _ = frontier(colour.where("node = colour").select("node", "colour"), lambda new, back=back: new.join(back, (F.col("node") == F.col("dst")) & (F.col("colour") == F.col("a"))).select(F.col("src").alias("node"), "colour"), ["node"])
-        done = materialise(members.select("node", F.col("colour").alias("component")), "scc")
+        proper = e.where("src <> dst")
+        inner, about = materialise_counted(left.join(proper.select(F.col("src").alias("node")), "node", "left_semi").join(proper.select(F.col("dst").alias("node")), "node", "left_semi"), "scc")
+        done = left.join(inner, "node", "left_anti").select("node", F.col("node").alias("component"))
+        if about["n"] == left.count():  # nothing to peel: colour
+            release(inner)
+            colour = materialise(left.select("node", F.col("node").alias("colour")), "scc")
+            changed, about = colour, {"n": 1}
+            while about["n"]:
+                told = changed.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
+                changed, about = materialise_counted(colour.join(told, "node").where("c < colour").select("node", F.col("c").alias("colour")), "scc")
+                old, colour = colour, materialise(colour.join(changed.select("node", F.col("colour").alias("c")), "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour")), "scc")
+                release(old)
+            inside = e.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst", "a")
+            back = materialise(inside, "scc")
+            members, _ = frontier(colour.where("node = colour").select("node", "colour"), lambda new, back=back: new.join(back, (F.col("node") == F.col("dst")) & (F.col("colour") == F.col("a"))).select(F.col("src").alias("node"), "colour"), ["node"])
+            done = members.select("node", F.col("colour").alias("component"))
+        done = materialise(done, "scc")
         found = done if found is None else found.unionByName(done)
-        left = materialise(left.join(done, "node", "left_anti"), "scc")
-        if left.isEmpty():
-            break
+        left, about = materialise_counted(left.join(done, "node", "left_anti"), "scc")
+        if not about["n"]:
+            return found
         e = materialise(e.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi"), "scc")
-    return found if found is not None else left.select("node", F.col("node").alias("component"))
+    raise AssertionError
+
+
+def call_schedule(edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
+    """node, component (its least node) and level: 0 for components without an edge to another one, else one more than the
+    greatest level of those it has an edge to. Work in order of the level sees callees before their callers.
+    """
+    scc = materialise(strong_components(edges, most_edges=most_edges), "schedule")
+    a, b = scc.select(F.col("node").alias("src"), F.col("component").alias("a")), scc.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    dag = materialise(edges.where("src is not null and dst is not null").join(a, "src").join(b, "dst").where("a <> b").select("a", "b").distinct(), "schedule")
+    best = materialise(scc.select("component").distinct().withColumn("level", F.lit(0)), "schedule")
+    new = best
+    for _ in rounds(None):
+        up = new.join(dag, F.col("component") == F.col("b")).groupBy(F.col("a").alias("component")).agg((F.max("level") + 1).alias("up"))
+        new, about = materialise_counted(best.join(up, "component").where("up > level").select("component", F.col("up").alias("level")), "schedule")
+        if not about["n"]:
+            break
+        best = materialise(best.unionByName(new).groupBy("component").agg(F.max("level").alias("level")), "schedule")
+    return scc.join(best, "component").select("node", "component", "level")
 
 
 def points_to(allocations: DataFrame, copies: DataFrame, stores: DataFrame | None = None, loads: DataFrame | None = None, most_rounds: int | None = MOST_ROUNDS) -> DataFrame:
@@ -208,8 +258,8 @@ def points_to(allocations: DataFrame, copies: DataFrame, stores: DataFrame | Non
             fresh_edges = materialise(fresh_edges.distinct().join(derived, ["src", "dst"], "left_anti"), "pts")
             out = out.unionByName(facts.join(fresh_edges, F.col("variable") == F.col("src")).select(F.col("dst").alias("variable"), "object"))
             derived = derived.unionByName(fresh_edges)
-        new = materialise(out.distinct().join(facts, ["variable", "object"], "left_anti"), "pts")
-        if new.isEmpty():
+        new, about = materialise_counted(out.distinct().join(facts, ["variable", "object"], "left_anti"), "pts")
+        if not about["n"]:
             break
         facts = facts.unionByName(new)
         if i % JOINED_ROUNDS == JOINED_ROUNDS - 1:
@@ -224,18 +274,31 @@ def alias_classes(sets: DataFrame, variable: str, element: str) -> DataFrame:
     return each.join(least, "set").select(F.col("v").alias("variable"), "class", F.size("set").alias("size"))
 
 
-def alias_pairs(sets: DataFrame, variable: str, element: str) -> DataFrame:
-    """Which classes of variables alias: left, right (classes, left <= right), shared elements and relation.
+def alias_links(sets: DataFrame, variable: str, element: str) -> DataFrame:
+    """element, class, members (variables of the class) and size (of its set): what each element joins.
+
+    One row for each element of each distinct set: two variables may be aliases if their classes have an element in
+    common, and must be if both are of one class whose size is 1. Linear in the sets, where pairs would not be.
+    """
+    each = alias_classes(sets, variable, element)
+    classes = each.groupBy("class", "size").agg(F.count(F.lit(1)).alias("members"))
+    held = sets.select(F.col(variable).alias("class"), F.col(element).alias("element")).where("element is not null").distinct()
+    return held.join(classes, "class").select("element", "class", "members", "size")
+
+
+def alias_pairs(sets: DataFrame, variable: str, element: str, of: DataFrame) -> DataFrame:
+    """Aliases of the classes of stated variables (``of``, column variable): left (their class), right, shared, relation.
 
-    Variables with equal sets are one class, so that copies give no pairs among themselves: a class of several variables
-    has a row with itself, must if its set is a singleton, else may. Two classes have a row if they share an element
-    (may); all others are no aliases. The join is on the element. Sets are those of a points-to analysis, whose size
-    its bounds limit.
+    Variables with equal sets are one class: a class of several has a row with itself, must if its set is a singleton,
+    else may. Another class has a row if it shares an element (may). Classes that are not asked for are never paired.
     """
-    c = alias_classes(sets, variable, element)
-    own = c.groupBy("class", "size").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("class").alias("left"), F.col("class").alias("right"), F.col("size").cast("long").alias("shared"), F.when(F.col("size") == 1, "must").otherwise("may").alias("relation"))
-    x = sets.select(F.col(variable).alias("class"), F.col(element).alias("o")).where("o is not null").distinct().join(c.select("class").distinct(), "class", "left_semi")
-    pairs = x.select(F.col("class").alias("left"), "o").join(x.select(F.col("class").alias("right"), "o"), "o").where(F.col("left") < F.col("right")).groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared"))
+    classes = alias_classes(sets, variable, element)
+    asked = classes.join(of.select("variable").distinct(), "variable", "left_semi").select("class").distinct()
+    links = alias_links(sets, variable, element)
+    own = links.join(asked, "class", "left_semi").where("members > 1").select("class", "size").distinct()
+    own = own.select(F.col("class").alias("left"), F.col("class").alias("right"), F.col("size").cast("long").alias("shared"), F.when(F.col("size") == 1, "must").otherwise("may").alias("relation"))
+    left = links.join(asked, "class", "left_semi").select("element", F.col("class").alias("left"))
+    pairs = left.join(links.select("element", F.col("class").alias("right")), "element").where(F.col("left") != F.col("right")).groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared"))
     return own.unionByName(pairs.withColumn("relation", F.lit("may")))
 
 
@@ -253,8 +316,8 @@ def rapid_types(roots: DataFrame, static_calls: DataFrame, dynamic_calls: DataFr
         live = dynamic_calls.join(reached.withColumnRenamed("function", "caller"), "caller", "left_semi")
         resolved = live.join(methods.join(types, "type", "left_semi"), "method").select("caller", "site", F.col("function").alias("callee"), "type").distinct()
         out = static_calls.join(reached.withColumnRenamed("function", "caller"), "caller", "left_semi").select(F.col("callee").alias("function"))
-        new = materialise(out.unionByName(resolved.select(F.col("callee").alias("function"))).distinct().join(reached, "function", "left_anti"), "rta")
-        if new.isEmpty():
+        new, about = materialise_counted(out.unionByName(resolved.select(F.col("callee").alias("function"))).distinct().join(reached, "function", "left_anti"), "rta")
+        if not about["n"]:
             break
         reached = materialise(reached.unionByName(new), "rta")
     return reached, resolved
@@ -275,9 +338,10 @@ def invalidate(nodes: DataFrame, depends_on: DataFrame, changes: DataFrame, most
     new = best
     for _ in rounds(most_rounds):
         told = new.withColumnRenamed("node", "input").join(e, "input").groupBy("node").agg(F.max("r").alias("r"))
-        new = materialise(told.join(best.select("node", F.col("r").alias("old")), "node", "left").where("old is null or r > old").select("node", "r"), "inv")
-        if new.isEmpty():
+        last, (new, about) = new, materialise_counted(told.join(best.select("node", F.col("r").alias("old")), "node", "left").where("old is null or r > old").select("node", "r"), "inv")
+        if not about["n"]:
             break
-        best = materialise(best.unionByName(new).groupBy("node").agg(F.max("r").alias("r")), "inv")
+        old, best = best, materialise(best.unionByName(new).groupBy("node").agg(F.max("r").alias("r")), "inv")
+        release(old, last)
     label = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), F.coalesce("r", F.lit(0)) + 1)
     return nodes.select("node").distinct().join(best, "node", "left").select("node", label.alias("action"))

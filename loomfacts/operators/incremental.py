@@ -12,9 +12,14 @@ ACTION_OF = {"content": "verify", "syntax": "recompute", "imports": "recompute",
 
 
 def input_digests(rows: DataFrame, keys: Sequence[str], identity: str, digest: str) -> DataFrame:
-    """One digest for each group of inputs (identity, digest): order-free sums, so no group is sorted or gathered."""
-    h = [F.xxhash64(F.lit(i), F.col(identity), F.coalesce(F.col(digest), F.lit(""))).bitwiseAND((1 << 50) - 1) for i in (1, 2)]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("inputs"), F.sum(h[0]).alias("digest"), F.sum(h[1]).alias("digest2"))
+    """inputs and digest of each group of inputs (identity, digest): order-free, so no group is sorted or gathered.
+
+    The digest is the sum of the leading 60 bits of the MD5 sums of all inputs, as a decimal that 10**12 of them cannot
+    overflow; an input that stands twice counts twice. A null identity or digest counts as empty.
+    """
+    text = F.concat(F.coalesce(F.col(identity).cast("string"), F.lit("")), F.lit("\x01"), F.coalesce(F.col(digest).cast("string"), F.lit("")))
+    lead = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("inputs"), F.sum(lead).cast("string").alias("digest"))
 
 
 def change_rows(before: DataFrame, after: DataFrame, key: str, aspects: dict[str, str]) -> DataFrame:

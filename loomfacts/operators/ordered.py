@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, maybe_broadcast
 
 
 def ordered_neighbours(df: DataFrame, group: str, order: Sequence[str], value: str) -> DataFrame:
@@ -28,5 +28,25 @@ def ordered_neighbours(df: DataFrame, group: str, order: Sequence[str], value: s
     border = spans.select("__g", "at", F.posexplode("at").alias("i", "x")).select(
         "__g", F.col("x.__q").alias("__q"), F.when(F.col("i") > 0, F.get("at", F.col("i") - 1)["hi"]).alias("__before"), F.get("at", F.col("i") + 1)["lo"].alias("__after")
     )
-    joined = inside.join(F.broadcast(border), F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")), "left")
+    joined = inside.join(maybe_broadcast(materialise(border, "borders")), F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")), "left")
     return joined.withColumn("prev", F.when(F.col("__first"), F.col("__before")).otherwise(F.col("prev"))).withColumn("next", F.when(F.col("__last"), F.col("__after")).otherwise(F.col("next"))).select(*df.columns, "prev", "next")
+
+
+def ordered_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Adds ``name``: the place of each row in ``order`` within ``group``, from 0, as a window over the group would give.
+
+    No group is gathered in one task: rows are cut into ranges of (group, order) of equal size and numbered inside; the
+    rows of the same group in earlier ranges are counted and added. Only groups that cross a border need that, so the
+    table of offsets has at most two rows a range. Null group values are equal to each other; ties in any order.
+    """
+    ranged = materialise(df.repartitionByRange(*[F.col(c) for c in group], *order).withColumn("__p", F.spark_partition_id()), "numbers")
+    w = Window.partitionBy("__p", *group).orderBy(*order)
+    counts = ranged.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__p").alias("__q")).agg(F.count(F.lit(1)).alias("n"))
+    keys = [f"__g{i}" for i in range(len(group))]
+    spans = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__q", "n"))).alias("at")).where(F.size("at") > 1)
+    at = spans.select(*keys, "at", F.posexplode("at").alias("i", "x"))
+    offset = at.select(*keys, F.col("x.__q").alias("__q"), F.aggregate(F.slice("at", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("__before"))
+    same = F.col("__p") == F.col("__q")
+    for c, k in zip(group, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return ranged.withColumn(name, F.row_number().over(w) - 1).join(maybe_broadcast(offset), same, "left").withColumn(name, (F.col(name) + F.coalesce("__before", F.lit(0))).cast("long")).select(*df.columns, name)

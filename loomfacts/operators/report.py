@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import SEVERITY_RANK, any_glob, rank, selects
 from ..session import maybe_broadcast
+from .ordered import ordered_numbers
 
 #: Sorted first within a position: diagnostics about capabilities.
 CAPABILITY_PREFIX = "core/"
@@ -42,8 +43,7 @@ def dedupe(d: DataFrame, keys: Sequence[str] = ("stable_fingerprint",), tie: Seq
 def occurrences(d: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
     """Adds occurrence: 0 for the first row of a rule, file and fingerprint in order of its range, and so on."""
     r = F.col("text_range")
-    w = Window.partitionBy("rule_id", "file", "stable_fingerprint").orderBy(r["start_line"], r["start_col"], r["end_line"], r["end_col"], *tie)
-    return d.withColumn("occurrence", F.row_number().over(w) - 1)
+    return ordered_numbers(d, ["rule_id", "file", "stable_fingerprint"], [r["start_line"], r["start_col"], r["end_line"], r["end_col"], *[F.col(t) for t in tie]], "occurrence")
 
 
 def filter_report(d: DataFrame, selector: str) -> DataFrame:
@@ -100,10 +100,7 @@ def match_baseline(current: DataFrame, baseline: DataFrame, exact: Sequence[str]
     Exact: the n-th row of an identity meets the n-th row of the baseline. Relocated: a key left over exactly once on
     both sides. Every current row comes out once, with phase null if it is new. Keys must not be null.
     """
-    def numbered(d: DataFrame) -> DataFrame:
-        return d.withColumn("__n", F.row_number().over(Window.partitionBy(*exact).orderBy(*order)))
-
-    a, b = numbered(current), numbered(baseline)
+    a, b = (ordered_numbers(d, exact, [F.col(c) for c in order], "__n") for d in (current, baseline))
     hit = a.join(b.select(*exact, "__n"), [*exact, "__n"], "left_semi").withColumn("phase", F.lit("exact"))
     rest, left = a.join(b.select(*exact, "__n"), [*exact, "__n"], "left_anti"), b.join(a.select(*exact, "__n"), [*exact, "__n"], "left_anti")
     once = rest.groupBy(*relocated).count().where("count = 1").join(left.groupBy(*relocated).count().where("count = 1"), list(relocated)).select(*relocated, F.lit("relocated").alias("phase"))
@@ -190,7 +187,12 @@ def invalid_spans(d: DataFrame) -> DataFrame:
 
 
 def top_k(d: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
-    """The first k rows of each group, their rank, and on the last of them whether more were cut off."""
-    w = Window.partitionBy(group).orderBy(*order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    return d.withColumn("rank", F.row_number().over(w)).withColumn("__n", n).where(F.col("rank") <= k).withColumn("truncated", (F.col("rank") == k) & (F.col("__n") > k)).drop("__n")
+    """The first k rows of each group, their rank, and on the last of them whether more were cut off.
+
+    Each task keeps at most k rows of a group before the shuffle (Spark's group limit below the window), and the sizes of
+    groups come from an aggregation, so that a hot group is gathered nowhere. Rows with a null group form a group.
+    """
+    first = d.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
+    sizes = d.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    joined = first.join(sizes, F.col(group).eqNullSafe(F.col("__g")))
+    return joined.withColumn("truncated", (F.col("rank") == k) & (F.col("__n") > k)).drop("__n", "__g")

@@ -14,7 +14,7 @@ from ..operators import fixpoint as G
 from ..operators import incremental as I
 from ..operators import resolution as RS
 from ..session import table
-from .graph_queries import _chain, _trade
+from .graph_queries import _J, _V, _chain, _journey_edges, _journeys
 from ..views import FactViews
 from .source_queries import _CALL_ROWS, _FILES, _FUNCTIONS, _LINES, _TYPES, _get, _has, _q
 
@@ -57,11 +57,12 @@ def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best paths from each region's least nation to its greatest, the cost of an edge being the difference of keys."""
-    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("start"), F.max("n_nationkey").alias("end"))
-    e = _trade(spark, sf_dir).withColumn("p", F.abs(F.col("src") - F.col("dst")))
-    found = D.ranked_paths(e, n, "p", 4, 3)
-    return found.select("start", "end", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost", "rank")
+    """The best ways through each week of a user, from its first type of event to its last; rare lengths of names cost more."""
+    e, ends = _journeys(spark, sf_dir)
+    node = lambda c: F.concat_ws(":", "function", c)
+    edges = e.select(node("src").alias("src"), node("dst").alias("dst"), F.abs(F.length("src") - F.length("dst")).alias("p"))
+    found = D.ranked_paths(edges, ends.select(node("entry").alias("start"), node("exit").alias("end")), "p", 4, 4)
+    return found.select("start", "end", F.array_join("path", ">").alias("path"), "cost", "rank")
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "source_files").select("repo_id", "relative_path", "content_hash").distinct()
-    return I.input_digests(files, ["repo_id"], "relative_path", "content_hash").select("repo_id", "inputs")
+    return I.input_digests(files, ["repo_id"], "relative_path", "content_hash")
 
 
 def _change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +131,7 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RS.dot_lines(_trade(spark, sf_dir))
+    return RS.dot_lines(_journey_edges(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
@@ -169,8 +170,7 @@ SQL = {
     "res_paired_paths": """WITH p AS (SELECT DISTINCT repo_id, relative_path FROM source_files WHERE repo_id IS NOT NULL), a AS (SELECT repo_id, regexp_extract(relative_path, '^pkg/([^/]+)/[^/]+$', 1) AS context, relative_path AS "left" FROM p WHERE regexp_matches(relative_path, '^pkg/([^/]+)/[^/]+$')),
         b AS (SELECT repo_id, regexp_extract(relative_path, '^internal/([^/]+)/[^/]+$', 1) AS context, relative_path AS "right" FROM p WHERE regexp_matches(relative_path, '^internal/([^/]+)/[^/]+$')) SELECT * FROM a JOIN b USING (repo_id, context)""",
     "res_dense_ids": "SELECT id, relative_path, dense_rank() OVER (ORDER BY relative_path) - 1 AS dense_id FROM (SELECT DISTINCT id, relative_path FROM source_files)",
-    "res_dot": """WITH t AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount >= 0.09)
-        SELECT '  "' || src || '" -> "' || dst || '";' AS value FROM t""",
+    "res_dot": f"""WITH {_J} SELECT '  "' || src || '" -> "' || dst || '";' AS value FROM j""",
     "res_test_facts": f"""WITH {_LINES}, t AS (SELECT DISTINCT l.id, line_no, line FROM l JOIN f USING (id) WHERE regexp_matches(relative_path, '_test\\.go$|\\.(test|spec)\\.[cm]?[jt]sx?$'))
         SELECT id, sum(len(regexp_extract_all(line, {_q(RS.ASSERTION)})))::BIGINT AS assertion_count, sum(len(regexp_extract_all(line, {_q(RS.SUBTEST)})))::BIGINT AS subtest_count, count(*) FILTER (regexp_matches(line, {_q(RS.TABLE_ROW)})) AS table_rows FROM t GROUP BY 1""",
     "res_directories": f"WITH {_FILES} SELECT repo_id, directory, count(DISTINCT relative_path) AS files FROM f GROUP BY 1, 2",
@@ -186,15 +186,15 @@ SQL = {
         SELECT repo_id, overlay, count(*) AS files FROM o GROUP BY 1, 2""",
     "ent_model_validation": """WITH m AS (SELECT coalesce(rule_id, '') AS source, coalesce(file, '') AS target, severity AS scope, count(evidence[1].label) AS n FROM report_diagnostics GROUP BY 1, 2, 3), k AS (SELECT rule_id AS key FROM rule_catalog UNION SELECT file FROM report_diagnostics WHERE severity = 'error' AND file IS NOT NULL)
         SELECT CASE WHEN trim(source) = '' THEN 'empty_source' WHEN trim(target) = '' THEN 'empty_target' WHEN trim(coalesce(scope, '')) = '' THEN 'empty_scope' WHEN n = 0 THEN 'empty_evidence' WHEN source NOT IN (SELECT key FROM k) THEN 'unknown_source' WHEN target NOT IN (SELECT key FROM k) THEN 'unknown_target' END AS reason, count(*) AS models FROM m GROUP BY 1""",
-    "flow_ranked_paths": """WITH RECURSIVE t AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount >= 0.09),
-        n AS (SELECT min(n_nationkey) AS a, max(n_nationkey) AS z FROM nation GROUP BY n_regionkey), r AS (SELECT a, z, a AS node, [a] AS path, 0::BIGINT AS cost FROM n UNION ALL SELECT a, z, dst, list_append(path, dst), cost + abs(src - dst) FROM r JOIN t ON node = src WHERE node <> z AND len(path) <= 3 AND NOT list_contains(path, dst))
-        SELECT a AS start, z AS "end", array_to_string(path, '>') AS path, cost, rank FROM (SELECT *, row_number() OVER (PARTITION BY a, z ORDER BY cost, len(path), path) AS rank FROM r WHERE node = z AND len(path) > 1) WHERE rank <= 4""",
+    "flow_ranked_paths": f"""WITH RECURSIVE {_V}, pairs AS (SELECT en.function, entry AS a, exit AS z FROM en JOIN ex ON ex.function = en.function WHERE entry <> exit), r AS (SELECT function, a, z, a AS node, [function || ':' || a] AS path, 0::BIGINT AS cost FROM pairs
+        UNION ALL SELECT r.function, a, z, dst, list_append(path, r.function || ':' || dst), cost + abs(length(src) - length(dst)) FROM r JOIN t ON t.function = r.function AND node = src WHERE node <> z AND len(path) <= 4 AND NOT list_contains(path, r.function || ':' || dst))
+        SELECT function || ':' || a AS start, function || ':' || z AS "end", array_to_string(path, '>') AS path, cost, rank FROM (SELECT *, row_number() OVER (PARTITION BY function ORDER BY cost, len(path), path) AS rank FROM r WHERE node = z AND len(path) > 1) WHERE rank <= 4""",
     "flow_summaries": f"WITH RECURSIVE {_S}, p AS (SELECT snapshot_id AS function, tool_version AS effect FROM s UNION SELECT src, effect FROM p JOIN e ON function = dst) SELECT * FROM p",
     "flow_slice": f"WITH RECURSIVE {_S}, p AS (SELECT snapshot_id AS node, 0 AS depth FROM s WHERE status = 'aborted' UNION SELECT src, depth + 1 FROM p JOIN e ON node = dst) SELECT node, min(depth) AS depth FROM p GROUP BY 1",
     "flow_taint_paths": f"""WITH RECURSIVE {_S}, p AS (SELECT snapshot_id AS source, snapshot_id AS node, 0 AS depth, snapshot_id::VARCHAR AS path, FALSE AS done FROM s WHERE prev IS NULL UNION ALL SELECT source, dst, depth + 1, path || '>' || dst, s.status = 'aborted' FROM p JOIN e ON node = src JOIN s ON s.snapshot_id = dst
         WHERE NOT done AND NOT (s.tool_version = '0.3.1' AND s.status <> 'aborted')) SELECT source, node AS sink, depth, path, 'present' AS status FROM p WHERE done""",
     "flow_reach_counts": f"WITH RECURSIVE {_S}, r AS (SELECT src AS start, dst AS node, 1 AS depth FROM e WHERE src IN (SELECT snapshot_id FROM s WHERE prev IS NULL) UNION ALL SELECT start, dst, depth + 1 FROM r JOIN e ON node = src) SELECT depth, count(*) AS nodes FROM r GROUP BY 1",
-    "inc_digests": "SELECT repo_id, count(*) AS inputs FROM (SELECT DISTINCT repo_id, relative_path, content_hash FROM source_files) GROUP BY 1",
+    "inc_digests": "SELECT repo_id, count(*) AS inputs, sum(('0x' || substr(md5(coalesce(relative_path, '') || chr(1) || coalesce(content_hash, '')), 1, 15))::BIGINT)::VARCHAR AS digest FROM (SELECT DISTINCT repo_id, relative_path, content_hash FROM source_files) GROUP BY 1",
     "inc_change_rows": """WITH n AS (SELECT rule_id, max(severity) AS api, any_value(title) AS content FROM report_diagnostics LEFT JOIN rule_catalog USING (rule_id) WHERE rule_id IS NOT NULL GROUP BY 1),
         x AS (SELECT coalesce(c.rule_id, n.rule_id) AS key, CASE WHEN c.rule_id IS NULL THEN 'added' WHEN n.rule_id IS NULL THEN 'removed' WHEN c.default_severity IS DISTINCT FROM n.api THEN 'api' WHEN c.title IS DISTINCT FROM n.content THEN 'content' END AS change FROM rule_catalog c FULL JOIN n ON c.rule_id = n.rule_id)
         SELECT key, change, CASE change WHEN 'content' THEN 'verify' ELSE 'recompute' END AS action FROM x WHERE change IS NOT NULL""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +70,9 @@ def _change_gate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _d(spark, sf_dir)
-    parts = [("rule_id", "rule_catalog"), ("snapshot_id", "report_snapshots"), ("repo_id", "repositories")]
-    out = [R.referential_gaps(d, table(spark, sf_dir, t), k).select(F.lit(k).alias("key_column"), F.col(k).cast("string").alias("key_value"), "rows") for k, t in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    parts = [(d, "rule_id", "rule_catalog"), (d, "snapshot_id", "report_snapshots"), (d, "repo_id", "repositories"), (table(spark, sf_dir, "report_snapshots").distinct(), "snapshot_id", "report_diagnostics"), (table(spark, sf_dir, "documents"), "source", "mix_targets"), (table(spark, sf_dir, "mix_targets"), "source", "documents")]
+    out = [R.referential_gaps(child, table(spark, sf_dir, t), k).select(F.concat(F.lit(k), F.lit(">"), F.lit(t)).alias("reference"), F.col(k).cast("string").alias("key_value"), "rows") for child, k, t in parts]
+    return reduce(DataFrame.unionByName, out)
 
 
 def _top_k(d: DataFrame) -> DataFrame:
@@ -208,9 +209,12 @@ SQL = {
     "rep_change_gate": f"""WITH {_CHANGES} SELECT rule_id, file, count(*) AS diagnostics FROM report_diagnostics d WHERE EXISTS (SELECT 1 FROM c WHERE c.path = d.file AND d.text_range.start_line <= c.hi AND c.lo <= greatest(d.text_range.start_line, d.text_range.end_line) AND c.lo <= c.hi) GROUP BY 1, 2""",
     "rep_change_gate_files": f"WITH {_CHANGES} SELECT file, count(*) AS diagnostics FROM report_diagnostics WHERE file IN (SELECT path FROM c) GROUP BY 1",
     "rep_exit_status": "SELECT count(*) AS diagnostics, coalesce(max((severity = 'error')::INT), 0) AS exit_code FROM report_diagnostics",
-    "rep_referential_gaps": """SELECT 'rule_id' AS key_column, rule_id AS key_value, count(*) AS rows FROM report_diagnostics WHERE rule_id NOT IN (SELECT rule_id FROM rule_catalog) GROUP BY 2
-        UNION ALL SELECT 'snapshot_id', snapshot_id::VARCHAR, count(*) FROM report_diagnostics WHERE snapshot_id NOT IN (SELECT snapshot_id FROM report_snapshots) GROUP BY 2
-        UNION ALL SELECT 'repo_id', repo_id, count(*) FROM report_diagnostics WHERE repo_id NOT IN (SELECT repo_id FROM repositories) GROUP BY 2""",
+    "rep_referential_gaps": """SELECT 'rule_id>rule_catalog' AS reference, rule_id AS key_value, count(*) AS rows FROM report_diagnostics WHERE rule_id NOT IN (SELECT rule_id FROM rule_catalog) GROUP BY 2
+        UNION ALL SELECT 'snapshot_id>report_snapshots', snapshot_id::VARCHAR, count(*) FROM report_diagnostics WHERE snapshot_id NOT IN (SELECT snapshot_id FROM report_snapshots) GROUP BY 2
+        UNION ALL SELECT 'repo_id>repositories', repo_id, count(*) FROM report_diagnostics WHERE repo_id NOT IN (SELECT repo_id FROM repositories) GROUP BY 2
+        UNION ALL SELECT 'snapshot_id>report_diagnostics', snapshot_id::VARCHAR, 1 FROM (SELECT DISTINCT snapshot_id FROM report_snapshots) WHERE snapshot_id NOT IN (SELECT snapshot_id FROM report_diagnostics)
+        UNION ALL SELECT 'source>mix_targets', source, count(*) FROM documents WHERE source NOT IN (SELECT source FROM mix_targets) GROUP BY 2
+        UNION ALL SELECT 'source>documents', source, count(*) FROM mix_targets WHERE source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL) GROUP BY 2""",
     "rep_invalid_spans": """SELECT rule_id, count(*) AS diagnostics FROM report_diagnostics WHERE text_range IS NULL OR text_range.end_line < text_range.start_line OR (text_range.end_line = text_range.start_line AND text_range.end_col < text_range.start_col)
         OR text_range.start_line < 1 OR text_range.start_col < 1 GROUP BY 1""",
     "rep_top_k": """SELECT file, line, message, rank, rank = 3 AND n > 3 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, message) AS rank, count(*) OVER (PARTITION BY file) AS n

@@ -183,7 +183,7 @@ cl AS (SELECT DISTINCT id, {_get(X.TS_CLASS, 1)} AS name, line_no, line LIKE 'ex
 sy AS (SELECT id, name, 'function' AS kind, is_exported FROM fn UNION ALL SELECT id, name, 'type', regexp_matches(name, '^[A-Z]') FROM ty UNION ALL SELECT id, name, 'class', is_exported FROM cl)"""
 _CALL_ROWS = f"""k0 AS (SELECT DISTINCT id, line_no, regexp_extract_all(line, {_q(X.CALL)}, 1) AS a FROM l WHERE language <> 'unknown' AND NOT {_has(X.GO_FUNC + "|" + X.TS_FUNC)} AND NOT {_COMMENT}),
 k1 AS (SELECT id, line_no, generate_subscripts(a, 1) - 1 AS position, unnest(a) AS callee FROM k0), k AS (SELECT * FROM k1 WHERE callee NOT IN ({_NOT})),
-ev AS (SELECT id AS scope, line_no * 1000 + position AS position, callee AS name FROM k)"""
+ev AS (SELECT id AS scope, line_no::BIGINT * 1048576 + position AS position, callee AS name FROM k)"""
 
 
 def _named(*names: str) -> str:

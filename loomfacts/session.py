@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if Catalyst's size estimate for it is at most this many bytes.
@@ -48,6 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Folders of the tables that are still there.
+_TABLES: set[str] = set()
+
+
+def _remove_all(spark: SparkSession) -> None:
+    for path in list(_TABLES):
+        _remove(spark, path)
+    _TABLES.clear()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -60,13 +70,33 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts the lineage in a way that survives the loss of an executor. The files are removed when the driver exits.
+    Cuts the lineage in a way that survives the loss of an executor. The files are removed by ``release``, else when the
+    driver exits.
     """
+    return materialise_counted(df, tag)[0]
+
+
+def materialise_counted(df: DataFrame, tag: str = "t", **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, and ``n``, the number of rows, with other ``metrics``, all taken while the table is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomfacts-{tag}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in metrics.items()]).write.mode("overwrite").parquet(path)
+    _TABLES.add(path)
+    if len(_TABLES) == 1:
+        atexit.register(_remove_all, spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_loomfacts_path"] = path
+    return out, seen.get
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that ``materialise`` gave and that no later plan reads."""
+    for t in tables:
+        path = t.__dict__.get("_loomfacts_path")
+        if path in _TABLES:
+            _remove(t.sparkSession, path)
+            _TABLES.discard(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -348,7 +348,7 @@ class FactViews:
     def events(self) -> DataFrame:
         """Calls as events: scope is the file, position the line and place in it, name the callee."""
         calls = X.call_names(self._files)
-        return calls.select(F.col("id").alias("scope"), (F.col("line_no") * 1000 + F.col("position")).alias("position"), F.col("callee").alias("name"))
+        return calls.select(F.col("id").alias("scope"), (F.col("line_no").cast("long") * (1 << 20) + F.col("position")).alias("position"), F.col("callee").alias("name"))
 
     def matching(self, pattern: P.EventPattern) -> DataFrame:
         return P.events_matching(self.events, pattern)

@@ -89,7 +89,9 @@ def test_incremental(spark):
 def test_alias_classes(spark):
     s = spark.createDataFrame([("p", "1"), ("q", "1"), ("r", "1"), ("r", "2"), ("t", "2"), ("u", None)], "v string, o string")
     assert {r["variable"]: r["class"] for r in G.alias_classes(s, "v", "o").collect()} == {"p": "p", "q": "p", "r": "r", "t": "t"}
-    assert {tuple(r) for r in G.alias_pairs(s, "v", "o").collect()} == {("p", "p", 1, "must"), ("p", "r", 1, "may"), ("r", "t", 1, "may")}
+    asked = spark.createDataFrame([("q",), ("t",)], "variable string")
+    assert {tuple(r) for r in G.alias_pairs(s, "v", "o", asked).collect()} == {("p", "p", 1, "must"), ("p", "r", 1, "may"), ("t", "r", 1, "may")}
+    assert sum(r["members"] for r in G.alias_links(s, "v", "o").where("size = 1").collect()) == 3
 
 
 def test_stream_with_late_rows(spark, tmp_path):
