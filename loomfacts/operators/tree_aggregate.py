@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import input_chunks
+from ..session import input_chunks, materialise
 
 _CHUNK = "__chunk"
 
@@ -88,7 +88,9 @@ def heavy_keys(df: DataFrame, columns: Sequence[str], share: float = 0.03, fan_i
 
     At most 1 / share values a column can qualify. Null values count in the total but are never heavy. Empty table: no rows.
     """
-    least = math.ceil(share * df.count() - 1e-9)
     kv = key_values(df, columns, {})
-    counts = tree_aggregate(kv, ["key_kind", "key_value"], {"row_count": F.count(F.lit(1))}, {"row_count": F.sum("row_count")}, fan_in)
+    counts = materialise(tree_aggregate(kv, ["key_kind", "key_value"], {"row_count": F.count(F.lit(1))}, {"row_count": F.sum("row_count")}, fan_in), "counts")
+    # Null values are counted too, so the counts of one column add up to all rows: the table is read once.
+    total = counts.where(F.col("key_kind") == columns[0]).agg(F.sum("row_count")).first()[0] or 0
+    least = math.ceil(share * total - 1e-9)
     return counts.where(F.col("key_value").isNotNull() & (F.col("row_count") >= F.lit(least)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.quantiles import merge_sketches, quantiles, sketch
 from ..operators.snapshot_diff import snapshot_diff
 from ..operators.tree_aggregate import heavy_keys, per_key_results
-from ..session import materialise, table
+from ..session import materialise, maybe_broadcast, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,14 @@ MEASURES = ("cold_wall_clock_ms", "warm_wall_clock_ms", "peak_rss_bytes")
 PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.99)
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that was delivered twice counts once."""
+    return table(spark, sf_dir, "scale_runs").select("run_id", "suite_id", F.to_date("measured_at").alias("day"), *MEASURES).dropDuplicates(["run_id"]).drop("run_id")
+
+
 def daily_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A state for each suite, day of measured_at and cost; a run that was delivered twice counts once."""
-    runs = table(spark, sf_dir, "scale_runs").select("run_id", "suite_id", F.to_date("measured_at").alias("day"), *MEASURES).dropDuplicates(["run_id"]).drop("run_id")
-    return sketch(runs, ["suite_id", "day"], MEASURES, chunks=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """A state for each suite, day of measured_at and cost."""
+    return sketch(_runs(spark, sf_dir), ["suite_id", "day"], MEASURES, chunks=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +49,35 @@ def p5_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles(merge_sketches(daily_states(spark, sf_dir), ["suite_id", "measure"]), ["suite_id", "measure"], PROBABILITIES)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_per_key": p4_per_key, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days}
+def p5_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the true ranks of each quantile of all days reach the asked rank within rank_error, counted over all runs."""
+    found = materialise(p5_all_days(spark, sf_dir), "quantiles")
+    each = _runs(spark, sf_dir).select("suite_id", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x")).select("suite_id", "x.measure", "x.v").where("v is not null")
+    asked = found.groupBy("suite_id", "measure").agg(F.collect_list(F.struct("probability", "quantile", "rank_error")).alias("q"))
+    at = each.groupBy("suite_id", "measure", "v").agg(F.count(F.lit(1)).alias("k")).join(maybe_broadcast(asked), ["suite_id", "measure"])
+    at = at.select("suite_id", "measure", "v", "k", F.explode("q").alias("q")).select("suite_id", "measure", "v", "k", "q.*")
+    k = F.col("k")
+    ranks = at.groupBy("suite_id", "measure", "probability").agg(F.sum(k).alias("n"), F.sum(F.when(F.col("v") < F.col("quantile"), k).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("quantile"), k).otherwise(0)).alias("upto"), F.max("rank_error").alias("e"))
+    rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("probability") * F.col("n"), 9)))
+    return ranks.select("suite_id", "measure", "probability", "n", ((F.col("below") + 1 - F.col("e") <= rank) & (rank <= F.col("upto") + F.col("e"))).alias("within_bound"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_per_key": p4_per_key, "p5_percentiles": p5_percentiles, "p5_all_days": p5_all_days, "p5_rank_check": p5_rank_check}
+
+# Percentiles as exact order statistics. The states give the same, with a rank error of 0, while a group has fewer values
+# than a buffer, as all have at the scale of the correctness check; p5_rank_check checks the stated bound at any scale.
+_RUNS = "r AS (SELECT suite_id, day, unnest([{'m': 'cold_wall_clock_ms', 'v': cold_wall_clock_ms}, {'m': 'warm_wall_clock_ms', 'v': warm_wall_clock_ms}, {'m': 'peak_rss_bytes', 'v': peak_rss_bytes}], recursive := true) FROM (SELECT DISTINCT run_id, suite_id, measured_at::DATE AS day, cold_wall_clock_ms, warm_wall_clock_ms, peak_rss_bytes FROM scale_runs))"
+
+
+def _exact(day: str, keys: str) -> str:
+    return f"""SELECT suite_id, {day} m AS measure, n, p AS probability, v AS quantile, 0::BIGINT AS rank_error FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY v) AS k, count(*) OVER (PARTITION BY {keys}) AS n FROM r WHERE v IS NOT NULL) x
+        CROSS JOIN (SELECT unnest([{", ".join(map(str, PROBABILITIES))}])::DOUBLE AS p) WHERE k = greatest(1, ceil(round(p * n, 9)))"""
+
 
 SQL = {
+    "p5_percentiles": f"WITH {_RUNS} {_exact('day,', 'suite_id, day, m')} UNION ALL BY NAME {_exact('NULL::DATE AS day,', 'suite_id, m')}",
+    "p5_all_days": f"WITH {_RUNS} {_exact('', 'suite_id, m')}",
+    "p5_rank_check": f"WITH {_RUNS} SELECT suite_id, m AS measure, p AS probability, count(*) AS n, TRUE AS within_bound FROM r CROSS JOIN (SELECT unnest([{', '.join(map(str, PROBABILITIES))}])::DOUBLE AS p) WHERE v IS NOT NULL GROUP BY 1, 2, 3",
     "p3_found": """
         WITH s AS (SELECT DISTINCT series_id, snapshot_id, taken_at FROM report_snapshots WHERE status = 'complete'),
         p AS (SELECT series_id, snapshot_id, lag(snapshot_id) OVER (PARTITION BY series_id ORDER BY taken_at) AS prev_snapshot_id FROM s),

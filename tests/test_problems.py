@@ -157,3 +157,18 @@ def test_sketches_combine(spark):
         assert r["n"] == len(mine) and rank_error(np.array(mine), r["quantile"], r["probability"]) <= r["rank_error"]
     assert len(got) == 3 * 2 * 3
     assert quantiles(sketch(d.limit(0), ["suite"], ["a"], chunks=1), ["suite", "measure"], [0.5]).count() == 0
+
+
+def test_sketch_of_doubles_and_decimals(spark):
+    from decimal import Decimal
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", None]), rng.choice([None, -0.0, 0.0, float("inf"), rng.uniform(-5, 5)]), Decimal(rng.randrange(-999, 999)) / 100) for _ in range(500)] + [("z", None, None)]
+    d = spark.createDataFrame(rows, "suite string, x double, y decimal(12,2)")
+    got = quantiles(sketch(d, ["suite"], ["x", "y"]), ["suite", "measure"], [0.1, 0.5, 1.0], {"x": "double", "y": "decimal(12,2)"}).collect()
+    assert {r["suite"] for r in got} == {"a", None}
+    for r in got:
+        v = sorted(float(x[1 if r["measure"] == "x" else 2]) for x in rows if x[0] == r["suite"] and x[1 if r["measure"] == "x" else 2] is not None)
+        assert r["n"] == len(v) and r["quantile"] == v[max(1, int(np.ceil(round(r["probability"] * len(v), 9)))) - 1] and r["rank_error"] == 0
+    with pytest.raises(TypeError):
+        sketch(d.selectExpr("suite", "cast(y as decimal(30,2)) as y"), ["suite"], ["y"])
