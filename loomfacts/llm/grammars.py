@@ -28,7 +28,7 @@ signature <- params result?
 result <- params / type
 params <- '(' (param (',' param)* ','?)? ')'
 param <- ID '...'? type / '...' type / type
-@type <- '*' type / '(' type ')' / typelit / name ('[' types ']')?
+type <- '*' type / '(' type ')' / typelit / name ('[' types ']')?
 typelit <- '[' ']' type / '[' '...' ']' type / '[' expr ']' type / 'map' '[' type ']' type / chan / 'func' signature / struct / interface
 chan <- '<-' 'chan' type / 'chan' '<-'? type
 name <- ID ('.' ID)?
@@ -51,9 +51,9 @@ range <- (exprsn (':=' / '='))? 'range' exprn
 simplen <- exprsn (('++' / '--') / ASSIGN exprsn / '<-' exprn)?
 exprs <- expr (',' expr)*
 exprsn <- exprn (',' exprn)*
-@expr <- unary (BINARY unary)*
+expr <- unary (BINARY unary)*
 unary <- UNARY* operand post*
-@exprn <- unaryn (BINARY unaryn)*
+exprn <- unaryn (BINARY unaryn)*
 unaryn <- UNARY* operandn post*
 operand <- NUM / STR / name ('[' types ']')? literal / ID / 'func' signature block / typelit literal? / '(' expr ')'
 operandn <- NUM / STR / ID / 'func' signature block / typelit literal? / '(' expr ')'
@@ -108,14 +108,14 @@ key <- WORD / STR / NUM / PRIV / '[' assign ']'
 object <- '{' (entryof (',' entryof)* ','?)? '}'
 entryof <- '...' assign / key ':' assign / (OBJECTMOD !OBJECTEND)* '*'? key TPARAMS params RETURNS body / ID ('=' assign)?
 body <- '{' stmt* '}'
-@expr <- assign (',' assign)*
-@assign <- arrow / "yield" !YIELDEND NONL '*'? assign / cond (ASSIGN assign)?
+expr <- assign (',' assign)*
+assign <- arrow / "yield" !YIELDEND NONL '*'? assign / cond (ASSIGN assign)?
 arrow <- ("async" NONL)? (ID NONL '=>' / ARROWHEAD TPARAMS params RETURNS NONL '=>') (body / assign) / "async" NONL ID NONL '=>' (body / assign)
 cond <- binary ('?' assign ':' assign)?
 binary <- unary (BINOP unary / CAST)*
 unary <- (UNARY / "await" &OPERAND / ASSERTION)* postfix
 postfix <- lhs (NONL ('++' / '--'))?
-@lhs <- ('new' !'.')* (primary / 'new' '.' ID) tail*
+lhs <- ('new' !'.')* (primary / 'new' '.' ID) tail*
 tail <- '.' (WORD / PRIV) / '?.' ('(' args ')' / '[' expr ']' / template / WORD / PRIV) / '[' expr ']' / '(' args ')' / template TAILMORE
 args <- (arg (',' arg)* ','?)?
 arg <- '...'? assign
@@ -152,7 +152,7 @@ targs <- '<' type (',' type)* '>'
 members <- '{' (tmember (';' / ',' / &'}' / NEWLINE))* '}'
 tmember <- (("readonly" / "get" / "set" / "static") &KEYNEXT)* ('-' / '+')? (("readonly") &KEYNEXT)? ('[' ID ':' type ']' ':' type / '[' ID 'in' type ("as" type)? ']' (('-' / '+')? '?')? (':' type)? / ('new')? tparams? params (':' returned)? / key '?'? (tparams? params (':' returned)? / (':' type)?))
 returned <- "asserts" (ID / 'this') ("is" type)? / (ID / 'this') "is" type / type
-@type <- functype / union ('extends' union '?' type ':' type)?
+type <- functype / union ('extends' union '?' type ':' type)?
 functype <- ("abstract"? 'new')? &#functype tparams? params '=>' returned
 union <- '|'? inter ('|' inter)*
 inter <- '&'? operator ('&' operator)*

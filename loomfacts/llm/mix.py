@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,26 +52,26 @@ def quotas(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total:
 def split_blocks(blocks: dict[str, int], shards: int, seed: int) -> list[dict[str, int]]:
     """Blocks of each source for each shard, by a tree that halves the shards.
 
-    At each node every source's blocks are dealt to the two halves in proportion to their shards, the odd remainder by
-    a hypergeometric draw, so that no block is lost or used twice and shards differ by few blocks of any source.
+    At each node the blocks of all its sources lie in one urn, of which the left half gets its part of the whole number,
+    drawn without replacement: the numbers by source are one draw of the multivariate hypergeometric distribution. No
+    block is lost or used twice, the shards have equally many blocks (up to one), and what a shard holds of each source
+    is as random as a shuffle of all blocks would make it.
     """
-    rng = random.Random(seed)
+    rng = np.random.default_rng(seed)
+    names = sorted(blocks)
     out: list[dict[str, int]] = [{} for _ in range(shards)]
 
-    def deal(lo: int, hi: int, have: dict[str, int]) -> None:
+    def deal(lo: int, hi: int, have: np.ndarray) -> None:
         if hi - lo == 1:
-            out[lo] = have
+            out[lo] = {s: int(n) for s, n in zip(names, have)}
             return
         mid = (lo + hi) // 2
-        left = {s: n * (mid - lo) // (hi - lo) for s, n in have.items()}
-        spare = [s for s, n in have.items() if n * (mid - lo) % (hi - lo)]
-        extra = round(sum(have[s] * (mid - lo) / (hi - lo) - left[s] for s in spare))
-        for s in rng.sample(spare, min(extra, len(spare))):
-            left[s] += 1
+        draws = int(have.sum()) * (mid - lo) // (hi - lo)
+        left = rng.multivariate_hypergeometric(have, draws, method="marginals")
         deal(lo, mid, left)
-        deal(mid, hi, {s: have[s] - left[s] for s in have})
+        deal(mid, hi, have - left)
 
-    deal(0, shards, dict(blocks))
+    deal(0, shards, np.array([blocks[s] for s in names], np.int64))
     return out
 
 

@@ -19,7 +19,8 @@ from .lexers import LexError, fast_go, fast_js, lex_go, lex_js
 # Extensions of the languages.
 EXTENSIONS = {"go": "go", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx"}
 LANGUAGES = ("go", "typescript", "tsx", "javascript", "jsx")
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))  # rules call each other as deep as a text nests
+#: Calls of rules inside each other (some 15 a level of nesting), at first and at most; the latter need about 1 GB.
+FRAMES, MOST_FRAMES = 50_000, 3_000_000
 _MARKER = re.compile(r"(?m)^[ \t]*(?:<{7}|={7}|>{7}|\|{7})(?:[ \t].*)?$")
 _CUT = re.compile(r"(?i)^\s*(?:\[truncated\b|<snip\b|\.\.\.\s*\d+\s+more\b)")
 
@@ -48,8 +49,22 @@ def parses(source: str, language: str) -> bool:
 def check(source: str, language: str, explain: bool = True) -> Failure | None:
     """None if ``source`` is a text of ``language`` from its first to its last token, else its furthest failure.
 
-    Without ``explain`` place and cause of a failure are left open, which saves a second parse.
+    Without ``explain`` place and cause of a failure are left open, which saves a second parse. Rules call each other as
+    deep as the text nests; the room for that is doubled until it suffices. Only a text that nests so deep that
+    MOST_FRAMES do not (some 200,000 levels; compilers give up long before) counts as one that does not parse, with the cause too_deep.
     """
+    limit = FRAMES
+    while True:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), limit))
+        try:
+            return _check(source, language, explain)
+        except RecursionError:
+            if limit >= MOST_FRAMES:
+                return Failure(0, "", "too_deep")
+            limit = min(limit * 4, MOST_FRAMES)
+
+
+def _check(source: str, language: str, explain: bool) -> Failure | None:
     try:
         jsx = language in ("tsx", "jsx")
         quick = fast_go(source) if language == "go" else fast_js(source, jsx) or lex_js(source, jsx, fast=True)
@@ -89,14 +104,12 @@ def _cause(source: str, language: str, at: int, plain: str) -> str:
 
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    gc.disable()  # a parse leaves no cycles; collecting would only walk the tables of lines again and again
     for b in batches:
-        ok = []
-        for source, language in zip(b["source"], b["language"]):
-            try:
-                ok.append(check(source, language, explain=False) is None)
-            except RecursionError:
-                ok.append(False)
+        gc.disable()  # a parse leaves no cycles; collecting would only walk the tables of lines again and again
+        try:
+            ok = [check(source, language, explain=False) is None for source, language in zip(b["source"], b["language"])]
+        finally:
+            gc.enable()
         yield pd.DataFrame({"id": b["id"], "repo_id": b["repo_id"], "language": b["language"], "ok": ok})
 
 
@@ -104,10 +117,7 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out: dict[str, list] = {"ok": [], "fail_at": [], "fail_line": [], "fail_found": [], "cause": []}
         for source, language in zip(b["source"], b["language"]):
-            try:
-                f = check(source, language)
-            except RecursionError:
-                f = Failure(0, "", "too_deep")
+            f = check(source, language)
             out["ok"].append(f is None)
             out["fail_at"].append(None if f is None else f.at)
             out["fail_line"].append(None if f is None else source.count("\n", 0, f.at) + 1)

@@ -1,7 +1,7 @@
 """Parsing-expression grammars over tokens, compiled to Python functions with packrat memo tables.
 
-Grammar text: one ``name <- expression`` a rule (a rule goes on until the next ``<-``); ``@name`` marks a rule whose
-results are kept in a memo table by position. In expressions:
+Grammar text: one ``name <- expression`` a rule (a rule goes on until the next ``<-``). The results of every recursive
+rule are kept in a memo table by position, so that the time of a parse is linear in the text. In expressions:
 
     'x'   the token of kind x (punctuation or reserved word)     "x"   an identifier token with the text x
     NAME  a token class: one kind of token, or a set given to compile_grammar
@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-_TOKEN = re.compile(r"\s+|(?P<rule>@?[a-zA-Z_]\w*\s*<-)|(?P<lit>'[^']*')|(?P<word>\"[^\"]*\")|(?P<hash>#\w+)|(?P<name>[a-zA-Z_]\w*)|(?P<op>[/*+?&!()])|(?P<comment>;[^\n]*)")
+_TOKEN = re.compile(r"\s+|(?P<rule>[a-zA-Z_]\w*\s*<-)|(?P<lit>'[^']*')|(?P<word>\"[^\"]*\")|(?P<hash>#\w+)|(?P<name>[a-zA-Z_]\w*)|(?P<op>[/*+?&!()])|(?P<comment>;[^\n]*)")
 
 
 def _read(text: str) -> tuple[dict[str, tuple], set[str]]:
@@ -27,7 +27,6 @@ def _read(text: str) -> tuple[dict[str, tuple], set[str]]:
             toks.append((m.lastgroup, m.group()))
         at = m.end()
     rules: dict[str, tuple] = {}
-    memo: set[str] = set()
     i = 0
 
     def choice() -> tuple:
@@ -76,12 +75,32 @@ def _read(text: str) -> tuple[dict[str, tuple], set[str]]:
 
     while i < len(toks):
         name = toks[i][1][:-2].strip()
-        if name[0] == "@":
-            name = name[1:]
-            memo.add(name)
         i += 1
         rules[name] = choice()
-    return rules, memo
+    return rules, _recursive(rules)
+
+
+def _recursive(rules: dict[str, tuple]) -> set[str]:
+    """The rules that can come back to themselves."""
+    def named(e: tuple) -> set[str]:
+        kind, x = e
+        if kind == "ref":
+            return {x} & rules.keys()
+        return set() if kind in ("lit", "word", "builtin") else set().union(*map(named, x)) if kind in ("seq", "choice") else named(x)
+
+    calls = {n: named(e) for n, e in rules.items()}
+    out = set()
+    for n in rules:
+        seen: set[str] = set()
+        todo = list(calls[n])
+        while todo:
+            m = todo.pop()
+            if m not in seen:
+                seen.add(m)
+                todo += calls[m]
+        if n in seen:
+            out.add(n)
+    return out
 
 
 def compile_grammar(text: str, start: str, classes: dict[str, frozenset[str]], builtins: dict[str, str], track: bool) -> Callable:

@@ -53,9 +53,13 @@ def test_split_blocks():
     have = {"a": 100, "b": 7, "c": 1}
     parts = split_blocks(have, 13, 5)
     assert {s: sum(p[s] for p in parts) for s in have} == have
-    for s in have:
-        assert max(p[s] for p in parts) - min(p[s] for p in parts) <= 3
+    whole = [sum(p.values()) for p in parts]
+    assert max(whole) - min(whole) <= 1
     assert split_blocks(have, 13, 5) == parts
+    # The first of two shards draws 20 of 40 blocks without replacement: mean 15 and variance 75 / 39 of a.
+    drawn = [split_blocks({"a": 30, "b": 10}, 2, seed)[0]["a"] for seed in range(3000)]
+    mean = sum(drawn) / len(drawn)
+    assert abs(mean - 15) < 0.1 and abs(sum((x - mean) ** 2 for x in drawn) / len(drawn) - 75 / 39) < 0.2
 
 
 def docs(spark, n=600):
