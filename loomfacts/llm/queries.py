@@ -9,7 +9,7 @@ from .encode import encode, token_counts
 from .handwritten import not_handwritten
 from .mix import mix
 from .parse_check import failing_files, failure_rates
-from .residue import repeated_pages, residue_documents
+from .residue import alignment_report, repeated_pages, residue_documents
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +60,15 @@ def p8_repeated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_pages(table(spark, sf_dir, "documents"))
 
 
+def p8_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates,
     "p2_found": p2_found, "p2_reasons": p2_reasons,
     "p6_ids": p6_ids, "p6_token_counts": p6_token_counts,
     "p7_mix": p7_mix, "p7_shares": p7_shares,
-    "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_repeated_pages": p8_repeated_pages,
+    "p8_found": p8_found, "p8_kinds": p8_kinds, "p8_repeated_pages": p8_repeated_pages, "p8_alignment": p8_alignment,
 }
 SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -49,13 +50,14 @@ _STRONG = re.compile(
 )
 #: Failed values, defaults and blanks: only in a slot that elsewhere holds an unfilled name.
 _WEAK = re.compile(r"(?<![\w.'-])(?:undefined|null|NaN|None|nil|N/A|TBD|TBA|TODO|FIXME|xxx+)(?![\w'-])|(?<!\S)(?:\.\.\.|…|\?\?\?|-{3,}|_{3,})(?!\S)", re.I)
+_SYMBOLS, _MARKED = re.compile(r"\W+"), re.compile(r"\x00(.)\x01")
 _NUMBER = re.compile(r"(?<![\w.])\d[\d.,:]*(?![\w])")
 # Instructions of document templates, filler and sample text.
 _INSTRUCTION = re.compile(
     r"(?i)(?:^|[.!?]\s)\W*(?:write (?:\w+ ){0,4}(?:sentences?|paragraphs?|words?) (?:on|about)\b|(?:example|description|content|text|summary|title|code|image)s? goes? here\b|(?:insert|add|put|enter) (?:your |the |a )?[\w ]{1,30} here\b|describe (?:your|the) [\w ]{1,30} here|to be (?:written|filled in)\W*$)"
 )
 _FILLER = re.compile(
-    r"(?i)\blorem ipsum\b|\b(?:this is )?(?:sample|dummy|filler|placeholder) (?:text|copy|content|paragraph)\b(?=.{0,40}(?:goes|here|replace|only|fills|\d|\W*$))|this copy only fills|replace before publishing|\byour (?:text|title|content|name) (?:goes )?here\b|ダミーテキスト|ここにテキスト|サンプルテキスト(?:です|が)|此处(?:输入|填写|为示例)|(?:示例|占位)(?:文本|文字)|\bblindtext\b|platzhaltertext|hier steht (?:ihr|dein|der) text|texte? (?:de remplissage|factice|d['’]exemple)|votre texte ici|texto de (?:relleno|ejemplo|muestra)|(?:su|tu) texto aqu[ií]|faux[- ]texte|the quick brown fox jumps"
+    r"(?i)\blorem ipsum\b|\b(?:this is )?(?:sample|dummy|filler|placeholder) (?:text|copy|content|paragraph)\b(?=.{0,40}(?:goes|here|replace|only|fills|\d|\W*$))|this copy only fills|replace before publishing|\byour (?:text|title|content|name) (?:goes )?here\b|ダミーテキスト|ここに(?:テキスト|本文|文章)(?:が|を)|サンプルテキスト(?:です|が)|此处(?:输入|填写|为示例|为正文|放置)|(?:示例|占位)(?:文本|文字)|\bblindtext\b|platzhaltertext|hier steht (?:\w+ ){0,2}(?:ihr|dein|der|unser)(?: \w+)? text|\b(?:real|actual|final) (?:text|content|copy) (?:goes|comes|will (?:go|come|be|stand|follow)|follows)\b|\bici (?:viendra|suivra|sera|figurera|se trouvera) (?:le|votre|un) (?:\w+ )?texte|\baqu[ií] (?:va|ir[áa]|viene|vendr[áa]|aparecer[áa]) (?:el|su|tu|un) (?:\w+ )?texto|texte? (?:de remplissage|factice|d['’]exemple)|votre texte ici|texto de (?:relleno|ejemplo|muestra)|(?:su|tu) texto aqu[ií]|faux[- ]texte|the quick brown fox jumps"
 )
 _LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur mauris pellentesque vestibulum curabitur vulputate sodales cursus fringilla veniam".split()
@@ -81,7 +83,7 @@ _ERROR_SENTENCE = re.compile(
 )
 _ERROR_JSON = re.compile(r"""(?i)^\s*\{\s*"(?:status|statuscode|code|error|errors|message|detail|title|type)"\s*:.*(?:\b[45]\d\d\b|error|denied|not found|forbidden).*\}""")
 _ERROR_HTML = re.compile(rf"(?is)<(?:title|h1)>[^<]*(?:\b[45]\d\d\b|{_STATUS_WORDS})[^<]*</(?:title|h1)>")
-_SCRIPT = r"(?:java\s?script|scripting|(?:client[-\ ]side\ )?scripts?|skripte?|javascripts?)"
+_SCRIPT = r"(?:java\s?script|scripting|(?:client[-\ ]side\ )?scripts?|skript(?:en?)?|javascripts?)"
 _SCRIPT_NOTICE = re.compile(
     rf"""(?ix)
     \b(?:enable|activate|allow|turn\ on|switch\ on|permit|unblock)\ (?:\w+\ )?{_SCRIPT}\b(?!\W*(?:rule|test|check|file))
@@ -90,6 +92,7 @@ _SCRIPT_NOTICE = re.compile(
     | \b{_SCRIPT}\ (?:disabled|blocked|required|needed)\s*: | (?:does|do)\ not\ (?:support|run|allow)\ {_SCRIPT} | (?:doesn['’]t|don['’]t)\ (?:support|run|allow)\ {_SCRIPT}
     | (?:won['’]t|will\ not|does\ not|doesn['’]t|cannot|can['’]t)\ (?:\w+\ )?(?:work|run|start|load|be\ (?:shown|displayed))\ (?:properly\ |correctly\ )?(?:without|with)\ {_SCRIPT} | \bwithout\ {_SCRIPT}\W*(?:enabled|$)
     | \buse\ {_SCRIPT}\ to\ \w+\ .{{1,60}}(?:blocked|disabled|turned\ off|switched\ off) | (?:browser|page|site|app)\ .{{0,40}}{_SCRIPT}\ (?:switched|turned)\ off | <noscript>
+    | (?:only\ (?:works?|runs?|starts?)|(?:works?|runs?|starts?)\ only)\ with\ (?:\w+\ ){{0,2}}{_SCRIPT}\b(?!\ off) | \bnur\ mit\ (?:\w+\ ){{0,2}}{_SCRIPT}\b | (?:uniquement|seulement)\ (?:avec|si)\ (?:\w+\ ){{0,2}}{_SCRIPT} | \bs[óo]lo\ (?:\w+\ )?con\ (?:\w+\ ){{0,2}}{_SCRIPT}
     | {_SCRIPT}\ (?:aktivieren|einschalten|erlauben|zulassen)|aktivieren\ sie\ (?:bitte\ )?{_SCRIPT}|{_SCRIPT}\ (?:ist|muss|wird)\ .{{0,30}}(?:deaktiviert|aktiviert|ben[öo]tigt|erforderlich|ausgeschaltet)|ben[öo]tigt\ {_SCRIPT}
     | (?:activer|autoriser|activez|autorisez)\ (?:le\ |les\ )?{_SCRIPT}|sans\ (?:le\ |les\ )?{_SCRIPT}|n[ée]cessite\ (?:le\ |les\ )?{_SCRIPT}|{_SCRIPT}\ (?:est|doit|sont)\ .{{0,30}}(?:d[ée]sactiv|activ|requis|n[ée]cessaire|bloqu)
     | (?:active|activar|habilite|habilitar|active\ usted|permita|habilita)\ (?:el\ |los\ )?{_SCRIPT}|(?:requiere|necesita)\ (?:el\ )?{_SCRIPT}|sin\ {_SCRIPT}|{_SCRIPT}\ (?:est[áa]|debe)\ .{{0,30}}(?:desactivad|activad|habilitad|bloquead)
@@ -97,9 +100,8 @@ _SCRIPT_NOTICE = re.compile(
     """
 )
 _BROWSER_CHECK = re.compile(r"(?i)\bchecking your browser before\b|verify(?:ing)? (?:that )?you are (?:a )?human|complete the captcha|ブラウザを確認しています|正在检查您的浏览器")
-_LINE_ENDS = {ord(c): "\n" for c in "\r\u2028\u2029\x85\x0b\x0c"}
+_LINE_ENDS = re.compile("[\r\u2028\u2029\x85\x0b\x0c]")
 _QUOTES = "\"“„'‘«「『‹"
-_SPACES = re.compile(r"[^\S\n]+")
 _SPLIT = re.compile(r"\n+|(?<=[.!?])\s+(?=\S)|(?<=[。！？])")
 
 
@@ -121,12 +123,12 @@ def content_lines(text: str) -> list[str]:
 
     Control tokens of language models and invisible characters are taken out, white space is made plain.
     """
-    t = _INVISIBLE.sub("", text.replace("\r\n", "\n").translate(_LINE_ENDS))
+    t = _INVISIBLE.sub("", _LINE_ENDS.sub("\n", text.replace("\r\n", "\n")))
     if "```" in t or "~~~" in t:
         t = _FENCE.sub("\n", t)
     out = []
     for line in t.split("\n"):
-        x = _SPACES.sub(" ", line).strip()
+        x = " ".join(line.split())
         if not x:
             continue
         if x[0] in "{<" and (_ERROR_JSON.match(x) or re.search(r"(?i)<(?:title|h1|noscript)>", x)):
@@ -149,30 +151,80 @@ def _repeated_words(x: str) -> bool:
     return len(w) >= 8 and len(set(w)) <= max(1, len(w) // 8) and max(map(len, w)) <= 12
 
 
+def _repeated_sentence(line: str) -> bool:
+    """One sentence of several words at least three times and nothing else."""
+    parts = [p.strip() for p in _SPLIT.split(line) if p.strip()]
+    return len(parts) > 2 and len(set(parts)) == 1 and len(parts[0]) >= 12
+
+
 def _latin_share(x: str) -> bool:
     w = _WORD.findall(x)
     return len(w) >= 8 and sum(t in _LATIN for t in w) >= 0.5 * len(w) and len({t for t in w if t in _LATIN and len(t) > 3}) >= 4
 
 
-#: Without one of these stems an ASCII line is no message: each alternative of the patterns holds one. They only save time.
-_STEMS = (
-    "script skript browser captcha human error fehler erreur found denied forbidden unauthori unavailable timeout time-out time_out too_many gone not_allowed accept conflict payment proxy connection too_l not_impl teapot exist moved available matches wrong permission access allowed session address removed public server sign_in log_in seite adresse zugriff berechtig rechte dienst page acces acc\u00e8s veuillez service p\u00e1gina pagina direcci acceso permiso servicio maintenance occurred upstream text copy here publish hier aqu quick_brown write written filled describe goes bad_request bad_gateway timed lorem blind dummy sample filler placeholder document authori permitted right blocked requests"
-).split()
-_STEMS = tuple(x.replace("_", " ") for x in _STEMS)
+# For each family of messages the fragments of which each of its alternatives holds at least one, in any
+# spelling of accents. A line without a fragment cannot match, so that they only save time.
+_FRAGMENTS = {
+    "script": ("script", "skript"),
+    "browser": ("checking your browser", "are human", "are a human", "the captcha", "ブラウザを確認しています", "正在检查您的浏览器"),
+    "error": (
+        "exist", "be found", "has moved", "been moved", "been removed", "not found", "available", "find that", "find the", "find this", "find your", "matches this", "error", "went wrong", "permission", "have access", "the right to",
+        "allowed", "authori", "permitted", "denied", "forbidden", "session has", "sent more", "too many requests", "been blocked", "is blocked", "was removed", "longer public", "maintenance", "occurred", "upstream",
+        "the server", "to continue", "view this", "bad request", "bad gateway", "time-out", "timeout", "timed out", "gone", "not acceptable", "conflict", "payment required", "connection re", "too large", "too long", "not implemented", "teapot",
+        "fehler", "erreur", "nicht gefunden", "angeforderte", "nschte", "verweigert", "sie haben keine", "gbar", "introuvable", "non trouv", "refus", "interdit", "la page ", "veuillez vous", "indisponible",
+        "no encontrada", "solicitada", "denegado", "permiso", "no disponible", "ページ", "アクセス", "サーバー", "権限がありません", "サービスを利用できません", "页面", "网页", "访问", "服务器", "您没有权限", "服务",
+    ),
+    "filler": (
+        "lorem ipsum", "sample text", "sample copy", "sample content", "sample paragraph", "dummy ", "filler ", "placeholder ", "copy only fills", "before publishing", " here", "ダミーテキスト", "ここに", "サンプルテキスト", "此处", "示例", "占位",
+        "blindtext", "platzhaltertext", "hier steht", "remplissage", "texte factice", "text factice", "exemple", "votre texte ici", "texto de", "texto aqu", "aqu", "ici ", "real text", "real content", "real copy", "actual text", "actual content", "actual copy", "final text", "final content", "final copy", "faux texte", "faux-texte", "quick brown fox", "write ", "to be written", "to be filled",
+    ),
+    "latin": tuple(sorted(w for w in _LATIN if len(w) > 3)),
+    "slot": ("undefined", "null", "nan", "none", "nil", "n/a", "tbd", "tba", "todo", "fixme", "xxx"),
+}
+_FAMILY = {f: 1 << i for i, f in enumerate(_FRAGMENTS)}
+
+
+def _automaton() -> ahocorasick.Automaton:
+    found: dict[str, int] = {}
+    for family, fragments in _FRAGMENTS.items():
+        for x in fragments:
+            found[x] = found.get(x, 0) | _FAMILY[family]
+    out = ahocorasick.Automaton()
+    for x, bits in found.items():
+        out.add_word(x, bits)
+    out.make_automaton()
+    return out
+
+
+_AUTOMATON = _automaton()
 _STATUS_NUMBER = re.compile(r"[45]\d\d")
 
 
+def _families(low: str) -> int:
+    bits = 0
+    for _, b in _AUTOMATON.iter(low):
+        bits |= b
+    return bits
+
+
 def message_kind(line: str) -> str | None:
     """filler, error_page or script_notice if the line is such a message itself."""
     low = line.lower()
-    if any(x in low for x in _STEMS) or not line.isascii() or _STATUS_NUMBER.search(line):
-        if ("script" in low or "skript" in low) and _SCRIPT_NOTICE.search(line) or _BROWSER_CHECK.search(line):
-            return "script_notice"
-        if _STATUS_LINE.match(line) or _ERROR_JSON.match(line) or _ERROR_HTML.search(line) or _ERROR_SENTENCE.search(line):
-            return "error_page"
-        if _FILLER.search(line) or _INSTRUCTION.search(line):
-            return "filler"
-    if len(line) >= 15 and (_repeated_words(low) or _latin_share(low)):  # eight words have 15 characters
+    return _message_kind(line, low, _families(low))
+
+
+def _message_kind(line: str, low: str, bits: int) -> str | None:
+    if bits & _FAMILY["script"] and _SCRIPT_NOTICE.search(line) or bits & _FAMILY["browser"] and _BROWSER_CHECK.search(line):
+        return "script_notice"
+    if bits & _FAMILY["error"] and (_STATUS_LINE.match(line) or _ERROR_SENTENCE.search(line)):
+        return "error_page"
+    if (bits & _FAMILY["error"] or _STATUS_NUMBER.search(line)) and (_STATUS_LINE.match(line) or _ERROR_JSON.match(line) or _ERROR_HTML.search(line)):
+        return "error_page"
+    if bits & _FAMILY["filler"] and (_FILLER.search(line) or _INSTRUCTION.search(line)):
+        return "filler"
+    if len(line) >= 39 and _repeated_sentence(line):
+        return "filler"
+    if len(line) >= 15 and (_repeated_words(low) or bits & _FAMILY["latin"] and _latin_share(low)):  # eight words have 15 characters
         return "filler"
     return None
 
@@ -182,7 +234,7 @@ def _unmarked(line: str) -> str:
     return line if line.isascii() else unicodedata.normalize("NFC", _LATIN_MARKS.sub("", unicodedata.normalize("NFD", line)))
 
 
-_MAY_BE_SLOT = re.compile(r"[{}$%\[\]<>&@«_]|XX|(?i:undefined|null|nan\b|none\b|\bnil\b|n/a|\btb[da]\b|todo|fixme|xxx)|\.\.\.|…|\?\?\?|---")
+_MAY_BE_SLOT = re.compile(r"[{}$%\[\]<>&@«_]|XX|\.\.\.|…|\?\?\?|---")
 
 
 def slots(unit: str) -> tuple[str, list[str]]:
@@ -194,7 +246,7 @@ def slots(unit: str) -> tuple[str, list[str]]:
     marked = _WEAK.sub("\x00w\x01", marked)
     marked = _NUMBER.sub("\x00v\x01", marked)
     marked = marked.replace(_QUOTE, "\x00q\x01")
-    return re.sub(r"\W+", " ", re.sub(r"\x00.\x01", " 0 ", marked).casefold()).strip(), re.findall(r"\x00(.)\x01", marked)
+    return _SYMBOLS.sub(" ", _MARKED.sub(" 0 ", marked).casefold()).strip(), _MARKED.findall(marked)
 
 
 def _template_id(template: str) -> int:
@@ -208,14 +260,12 @@ _UNSPACED = re.compile(r"[\u0e01-\u0edf\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u
 _HTTP_STATUS = re.compile(r"(?<![\w.,:/-])(?:40\d|41[0-8]|42[1-689]|431|451|50[0-8]|51[01])(?![\w%/-]|[.,:]\d)")
 
 
-def page_template(lines: list[str]) -> str:
-    """The template of a whole page: all its lines without slots and addresses."""
-    out = []
-    for x in lines:
-        if "/" in x or "@" in x:
-            x = " ".join("0" if "/" in w or "@" in w else w for w in x.split(" "))
-        out.append(slots(x)[0] if _MAY_BE_SLOT.search(x) else re.sub(r"\W+", " ", _NUMBER.sub(" 0 ", x.replace(_QUOTE, " 0 ")).casefold()).strip())
-    return "\n".join(out)
+def page_template(lines: list[str], slotted: bool) -> str:
+    """The template of a whole page: all its lines without slots (if it may have any) and addresses."""
+    page = "\n".join(lines)
+    if "/" in page or "@" in page:
+        page = "\n".join(" ".join("0" if "/" in w or "@" in w else w for w in x.split(" ")) for x in page.split("\n"))
+    return slots(page)[0] if slotted else _SYMBOLS.sub(" ", _NUMBER.sub(" 0 ", page.replace(_QUOTE, " 0 ")).casefold()).strip()
 
 
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,13 +274,16 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text in zip(b["doc_id"], b["text"]):
             if not text or len(text) < 12 and len(text.split()) < 2 and not _UNSPACED.search(text):
                 continue
-            lines, kinds = content_lines(text), set()
+            lines, kinds, slotted = content_lines(text), set(), False
             for line in lines:
-                kind = message_kind(line) or message_kind(_unmarked(line)) if not line.isascii() else message_kind(line)
+                low = line.lower()
+                bits = _families(low)
+                kind = _message_kind(line, low, bits) or (message_kind(_unmarked(line)) if not line.isascii() else None)
                 if kind:
                     kinds.add(kind)
                     rows.append((doc, kind, _template_id(slots(line)[0]), 0, "m"))
-                if _MAY_BE_SLOT.search(line):
+                if bits & _FAMILY["slot"] or _MAY_BE_SLOT.search(line):
+                    slotted = True
                     for unit in _SPLIT.split(line):
                         template, found = slots(unit)
                         if "s" in found or "w" in found:
@@ -238,7 +291,7 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             rows += [(doc, "placeholder", t, i, k) for i, k in enumerate(found)]
             if lines:
                 status = _HTTP_STATUS.search(lines[0])
-                rows.append((doc, "error_page" if "error_page" in kinds else "page", _template_id(page_template(lines)), int(status.group()) if status else 0, "p"))
+                rows.append((doc, "error_page" if "error_page" in kinds else "page", _template_id(page_template(lines, slotted)), int(status.group()) if status else 0, "p"))
         yield pd.DataFrame(rows, columns=["doc_id", "kind", "template", "slot", "filler"])
 
 
@@ -253,13 +306,28 @@ def residue_units(documents: DataFrame) -> DataFrame:
     return spread(documents.select("doc_id", "text").where(F.col("text").isNotNull())).mapInPandas(_units, "doc_id long, kind string, template long, slot long, filler string")
 
 
-def induced_slots(units: DataFrame) -> DataFrame:
-    """For each slot of each template, over all records of the template: unfilled names, failed values and other fillers."""
-    return units.where("filler not in ('m', 'p')").groupBy("template", "slot").agg(F.count_if(F.col("filler") == "s").alias("names"), F.count_if(F.col("filler") == "w").alias("failed"), F.count_if(F.col("filler").isin("v", "q")).alias("values"), F.count(F.lit(1)).alias("n"))
+def induced_templates(units: DataFrame) -> DataFrame:
+    """What all records of a template show of each of its slots: template, slot, kind, records, documents, names, failed, messages.
+
+    Records are aligned by the template; a message is a slot of its own (kind its family). Aggregated before the shuffle,
+    so that a template of very many records gathers nowhere; documents is counted from the pairs of template and document.
+    """
+    at = units.where("filler != 'p'").groupBy("template", "slot", "kind", "doc_id").agg(*[F.count_if(F.col("filler") == f).alias(c) for f, c in (("s", "names"), ("w", "failed"), ("m", "messages"))], F.count(F.lit(1)).alias("records"))
+    return at.groupBy("template", "slot", "kind").agg(F.count(F.lit(1)).alias("documents"), *[F.sum(c).alias(c) for c in ("records", "names", "failed", "messages")])
+
+
+def judged_slots(templates: DataFrame) -> DataFrame:
+    """Slots that are residue: template, slot, kind, documents, fillers (those that are residue there).
+
+    A slot that retains a name in any record is one of names, in those records; if names are at least SLOT_SHARE of its
+    fillers, failed values, defaults and blanks are residue too. A template of a message is residue as a whole.
+    """
+    fillers = F.when(F.col("messages") > 0, F.array(F.lit("m"))).when((F.col("names") > 0) & (F.col("names") >= SLOT_SHARE * F.col("records")), F.array(F.lit("s"), F.lit("w"))).when(F.col("names") > 0, F.array(F.lit("s")))
+    return templates.select("template", "slot", "kind", "documents", fillers.alias("fillers")).where("fillers is not null")
 
 
 def error_templates(units: DataFrame) -> DataFrame:
-    """Templates of whole pages which recur and are judged to be error pages by what all their records hold: template.
+    """Templates of whole pages which recur and are judged to be error pages by what all their records hold: template, documents.
 
     Either enough of the records hold a message of an error page, or nearly all have a status of HTTP in the first line,
     and not all the same, as a number that is a slot of the server's page has.
@@ -268,7 +336,7 @@ def error_templates(units: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     seen = one.groupBy("template").agg(n.alias("n"), F.count_if("message").alias("messages"), F.count_if(F.col("status") > 0).alias("statuses"), F.max("status").alias("most"), F.min(F.when(F.col("status") > 0, F.col("status"))).alias("least"))
     by_status = (F.col("statuses") >= PAGE_STATUSES * F.col("n")) & (F.col("most") > F.col("least"))
-    return seen.where((F.col("n") >= MIN_PAGES) & ((F.col("messages") >= PAGE_MESSAGES * F.col("n")) | by_status)).select("template")
+    return seen.where((F.col("n") >= MIN_PAGES) & ((F.col("messages") >= PAGE_MESSAGES * F.col("n")) | by_status)).select("template", F.col("n").alias("documents"))
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
@@ -281,14 +349,25 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     one if its template recurs and is judged an error page (``error_templates``). Code, quotes, log lines and usage lines are left out before. Null, empty, blank and one-word texts, and an empty table, give no rows; repeated
     rows give one row a doc_id; extra columns are ignored.
     """
+    return residue_places(documents).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+def residue_places(documents: DataFrame) -> DataFrame:
+    """The places of residue: doc_id, kind, template, documents (that have this template)."""
     units = materialise(residue_units(documents), "residue")
-    open_slots = induced_slots(units).where(F.col("names") >= SLOT_SHARE * F.col("n")).select("template", "slot")
-    retained = units.where("filler = 'm' or filler = 's'").select("doc_id", "kind")
-    failed = units.where("filler = 'w'").join(maybe_broadcast(open_slots), ["template", "slot"], "left_semi").select("doc_id", "kind")
-    pages = units.where("filler = 'p'").join(maybe_broadcast(error_templates(units)), "template", "left_semi").select("doc_id", F.lit("error_page").alias("kind"))
-    return retained.unionByName(failed).unionByName(pages).groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    judged = materialise(judged_slots(induced_templates(units)), "judged")
+    slots_of = units.where("filler in ('m', 's', 'w')").join(maybe_broadcast(judged), ["template", "slot", "kind"]).where(F.array_contains("fillers", F.col("filler"))).select("doc_id", "kind", "template", "documents")
+    errors = materialise(error_templates(units), "pages")
+    pages = units.where("filler = 'p'").join(maybe_broadcast(errors), "template").select("doc_id", F.lit("error_page").alias("kind"), "template", "documents")
+    return slots_of.unionByName(pages).distinct()
 
 
 def repeated_pages(documents: DataFrame, least: int = 2) -> DataFrame:
     """Message templates that stand in at least ``least`` documents: template, kind, documents."""
-    return residue_units(documents).where("filler = 'm'").groupBy("template", "kind").agg(F.count_distinct("doc_id").alias("documents")).where(F.col("documents") >= least)
+    return induced_templates(residue_units(documents)).where((F.col("messages") > 0) & (F.col("documents") >= least)).select("template", "kind", "documents")
+
+
+def alignment_report(documents: DataFrame) -> DataFrame:
+    """How many documents are found in all, and through a template that at least two documents have: kind, found, aligned."""
+    best = residue_places(documents).groupBy("doc_id", "kind").agg(F.max("documents").alias("most"))
+    return best.groupBy("kind").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("most") > 1).alias("aligned"))
