@@ -20,8 +20,8 @@ SCRIPT = ("typescript", "tsx", "javascript", "jsx")
 # Patterns in the syntax that Java and RE2 share; group 1 (and 2) are the fact's values.
 GO_PACKAGE = r"^package ([A-Za-z_][A-Za-z0-9_]*)"
 GO_IMPORT = r'^(?:import\s+|\t)(?:([A-Za-z_.][A-Za-z0-9_]*)\s+)?"([^"\s]+)"\s*$'
-GO_FUNC = r"^func (?:\([^)]*\) )?([A-Za-z_][A-Za-z0-9_]*)\("
-GO_TYPE = r"^type ([A-Za-z_][A-Za-z0-9_]*) (struct|interface|[^\s{]+)"
+GO_FUNC = r"^func (?:\([^)]*\) )?([A-Za-z_][A-Za-z0-9_]*)[\[(]"
+GO_TYPE = r"^type ([A-Za-z_][A-Za-z0-9_]*)(?:\[[A-Za-z_][^\]]* [^\]]*\])? (struct|interface|[^\s{]+)"
 TS_IMPORT = r"""(?:^import\s.*from\s*|^import\s*|^export\s.*from\s*|require\(|import\()["']([^"'\s]+)["']"""
 TS_FUNC = r"^(?:export )?(?:default )?(?:async )?function\s*\*?\s*([A-Za-z_$][A-Za-z0-9_$]*)|^(?:export )?const ([A-Za-z_$][A-Za-z0-9_$]*) = (?:async )?\([^)]*\)(?:: [^=]+)? =>"
 TS_CLASS = r"^(?:export )?(?:default )?(?:abstract )?class ([A-Za-z_$][A-Za-z0-9_$]*)"
@@ -161,24 +161,45 @@ def related_tests(files: DataFrame) -> DataFrame:
     return x.where(~is_test).select("id", "repo_id", "directory").join(tests, ["repo_id", "directory"]).select("id", "test_id")
 
 
-def resolved_imports(files: DataFrame) -> DataFrame:
-    """The status of each import: dynamic, resolved (with target), external or unresolved.
+#: Extensions of scripts in the order in which they are probed, and those that one written in an import may stand for. Fixed values.
+PROBED = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")
+STANDS_FOR = {"js": ("ts", "tsx"), "jsx": ("tsx",), "mjs": ("mts",), "cjs": ("cts",)}
 
-    A relative path is resolved against the directory of its file, with the extensions of scripts probed in their order;
-    the first that names a file of the repository wins. A Go path is external if it names a package of the standard
-    library or another host; a script path without a dot before it is a package, hence external; ``@app/`` is an alias
-    that needs set-up, hence unresolved.
+
+def normalised(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; null if it leads above the root."""
+    step = lambda a, x: F.when(x.isin("", "."), a).when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(F.array(F.lit("!"), F.lit("!")))).otherwise(F.concat(a, F.array(x)))
+    # The first element only keeps the array from being empty; a second "!" marks a path that led above the root.
+    parts = F.aggregate(F.split(path, "/"), F.array(F.lit("")), lambda a, x: F.when(F.element_at(a, 1) == "!", a).otherwise(step(a, x)))
+    return F.when(F.element_at(parts, 1) != "!", F.array_join(F.slice(parts, 2, F.size(parts)), "/"))
+
+
+def resolved_imports(files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """The status of each import: dynamic, resolved (with target), external, setup_missing or unresolved.
+
+    A relative path is taken from the directory of its file, ``.`` and ``..`` segments being resolved; one that leads out
+    of the repository is unresolved. Probed in order: the path itself, the path with each extension, the source that an
+    extension in it stands for (``./a.js`` for a.ts), and an index file of the folder; the first that names a file of the repository
+    wins. ``aliases`` (prefix to folder, as a set-up file gives them) make a path relative to the root of the repository; ``@app/``
+    without such an entry is setup_missing. A Go path is external if it names a package of the standard library or another
+    host; a script path without a dot before it is a package, hence external.
     """
     at = source_files(files).select("id", "repo_id", "directory")
     i = imports(files).join(at, "id")
-    relative = F.col("path").startswith(".")
-    up = F.when(F.col("path").startswith("../"), F.regexp_replace("directory", r"/?[^/]*$", "")).otherwise(F.col("directory"))
-    base = F.concat_ws("/", F.when(up != "", up), F.regexp_replace("path", r"^\.\.?/", ""))
-    order = ["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"]
-    candidates = i.where(relative).select("id", "line_no", "repo_id", F.posexplode(F.array(*[F.concat(base, F.lit("." + e)) for e in order])).alias("priority", "candidate"))
+    relative = F.col("path").startswith(".") & (F.col("language") != "go")
+    base = F.when(relative, F.concat_ws("/", F.nullif(F.col("directory"), F.lit("")), F.col("path")))
+    for prefix, folder in (aliases or {}).items():
+        base = F.when(F.col("path").startswith(prefix), F.concat(F.lit(folder), F.substring("path", len(prefix) + 1, 4096))).otherwise(base)
+    i = i.withColumn("__base", normalised(base))
+    b, ext = F.col("__base"), F.regexp_extract("__base", r"\.([a-z]+)$", 1)
+    stem = F.regexp_replace("__base", r"\.[a-z]+$", "")
+    own = [F.when(ext.isin(*PROBED), b)] + [F.concat(b, F.lit("." + e)) for e in PROBED]
+    other = [F.when(ext == e, F.concat(stem, F.lit("." + x))) for e, xs in STANDS_FOR.items() for x in xs]
+    index = [F.concat_ws("/", F.nullif(b, F.lit("")), F.lit("index." + e)) for e in PROBED]
+    candidates = i.where("__base is not null").select("id", "line_no", "path", "repo_id", F.posexplode(F.array(*own, *other, *index)).alias("priority", "candidate")).where("candidate is not null")
     targets = source_files(files).select("repo_id", F.col("relative_path").alias("candidate"), F.col("id").alias("target"))
-    hits = candidates.join(targets, ["repo_id", "candidate"]).groupBy("id", "line_no").agg(F.min_by("target", "priority").alias("target"))
+    hits = candidates.join(targets, ["repo_id", "candidate"]).groupBy("id", "line_no", "path").agg(F.min_by("target", F.struct("priority", "target")).alias("target"))
     status = (
-        F.when(F.col("path").contains("${"), "dynamic").when(F.col("target").isNotNull(), "resolved").when(relative, "unresolved").when(F.col("path").startswith("@app/"), "setup_missing").otherwise("external")
+        F.when(F.col("path").contains("${"), "dynamic").when(F.col("target").isNotNull(), "resolved").when(F.col("__base").isNotNull() | F.col("path").startswith("."), "unresolved").when(F.col("path").startswith("@app/"), "setup_missing").otherwise("external")
     )
-    return i.join(hits, ["id", "line_no"], "left").select("id", "line_no", "path", "target", status.alias("status"))
+    return i.join(hits, ["id", "line_no", "path"], "left").select("id", "line_no", "path", "target", status.alias("status"))

@@ -166,12 +166,19 @@ _LITERALS = f"""s0 AS (SELECT DISTINCT id, line_no, regexp_extract_all(line, {_q
 s AS (SELECT id, line_no, generate_subscripts(a, 1) - 1 AS position, unnest(a) AS value FROM s0)"""
 _BRANCHES = f"""b AS (SELECT DISTINCT id, line_no, {_get(X.BRANCH, 1)} AS kind, {_get(X.BRANCH, 2)} AS condition, {" OR ".join(f"contains(regexp_replace(lower({_get(X.BRANCH, 2)}), chr(92) || 's', '', 'g'), '{t}')" for t in X.ERROR_TERMS)} AS is_error_path
 FROM l WHERE language <> 'unknown' AND {_has(X.BRANCH)})"""
-_UP = "CASE WHEN path LIKE '../%' THEN regexp_replace(directory, '/?[^/]*$', '') ELSE directory END"
+# The folder is cut by the number of leading ``../``; all other segments stay, unlike in the operator, which folds over segments.
+_DOTS = "len(regexp_extract(path, '^((?:\\./)*(?:\\.\\./)*)', 1))"
+_UPS = "len(regexp_extract_all(regexp_extract(path, '^((?:\\./)*(?:\\.\\./)*)', 1), '\\.\\./'))"
+_PARTS = "CASE WHEN directory = '' THEN [] ELSE string_split(directory, '/') END"
+_PROBES = ", ".join(f"b || '.{e}'" for e in X.PROBED)
+_INDEX = ", ".join(f"b || '/index.{e}'" for e in X.PROBED)
 _RESOLVED = f"""j AS (SELECT i.*, f.repo_id, f.directory FROM i JOIN (SELECT DISTINCT id, repo_id, directory FROM f) f USING (id)),
-c AS (SELECT id, line_no, repo_id, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS priority, concat_ws('/', nullif({_UP}, ''), regexp_replace(path, '^\\.\\.?/', '')) || unnest(['.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs']) AS candidate FROM j WHERE path LIKE '.%'),
-h AS (SELECT c.id, line_no, arg_min(t.id, priority) AS target FROM c JOIN (SELECT DISTINCT id, repo_id, relative_path FROM f) t ON t.repo_id = c.repo_id AND t.relative_path = candidate GROUP BY c.id, line_no),
-r AS (SELECT j.id, j.line_no, path, target, CASE WHEN contains(path, '${{') THEN 'dynamic' WHEN target IS NOT NULL THEN 'resolved' WHEN path LIKE '.%' THEN 'unresolved' WHEN path LIKE '@app/%' THEN 'setup_missing' ELSE 'external' END AS status
-FROM j LEFT JOIN h ON h.id = j.id AND h.line_no = j.line_no)"""
+c0 AS (SELECT id, line_no, path, repo_id, array_to_string(list_concat(list_slice({_PARTS}, 1, len({_PARTS}) - {_UPS}), [substr(path, {_DOTS} + 1)]), '/') AS b FROM j WHERE path LIKE '.%' AND language <> 'go' AND len({_PARTS}) >= {_UPS}),
+c1 AS (SELECT id, line_no, path, repo_id, [CASE WHEN regexp_matches(b, '\\.[cm]?[jt]sx?$') THEN b END, {_PROBES}, CASE WHEN b LIKE '%.js' THEN b[:-4] || '.ts' END, CASE WHEN b LIKE '%.js' THEN b[:-4] || '.tsx' END, CASE WHEN b LIKE '%.jsx' THEN b[:-5] || '.tsx' END, CASE WHEN b LIKE '%.mjs' THEN b[:-5] || '.mts' END, CASE WHEN b LIKE '%.cjs' THEN b[:-5] || '.cts' END, {_INDEX}] AS a FROM c0),
+c AS (SELECT id, line_no, path, repo_id, generate_subscripts(a, 1) AS priority, unnest(a) AS candidate FROM c1),
+h AS (SELECT c.id, line_no, path, arg_min(t.id, priority) AS target FROM c JOIN (SELECT DISTINCT id, repo_id, relative_path FROM f) t ON t.repo_id = c.repo_id AND t.relative_path = candidate GROUP BY c.id, line_no, path),
+r AS (SELECT j.id, j.line_no, j.path, target, CASE WHEN contains(j.path, '${{') THEN 'dynamic' WHEN target IS NOT NULL THEN 'resolved' WHEN j.path LIKE '.%' THEN 'unresolved' WHEN j.path LIKE '@app/%' THEN 'setup_missing' ELSE 'external' END AS status
+FROM j LEFT JOIN h ON h.id = j.id AND h.line_no = j.line_no AND h.path = j.path)"""
 _RELATED = """g AS (SELECT DISTINCT id, repo_id, relative_path, directory FROM f WHERE language = 'go'),
 rt AS (SELECT a.id, b.id AS test_id FROM g a JOIN g b USING (repo_id, directory) WHERE NOT regexp_matches(a.relative_path, '_test\\.go$') AND regexp_matches(b.relative_path, '_test\\.go$'))"""
 _PKG = "CASE WHEN path LIKE '@%' THEN regexp_extract(path, '^(@[^/]+/[^/]+|@[^/]*)', 1) ELSE regexp_extract(path, '^([^/]*)', 1) END"
