@@ -99,7 +99,7 @@ def function_metrics(files: DataFrame) -> DataFrame:
     calls = F.size(F.filter(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)), lambda c: ~c.isin(*NOT_CALLS)))
     first = F.min_by("line", "line_no")
     name = F.coalesce(F.nullif(F.regexp_extract(first, GO_FUNC, 1), F.lit("")), F.nullif(F.regexp_extract(first, TS_FUNC, 1), F.lit("")), F.regexp_extract(first, TS_FUNC, 2))
-    return body.groupBy("id", "f").agg(name.alias("name"), F.min("line_no").alias("start_line"), F.count(F.lit(1)).alias("line_count"), (1 + F.sum(decisions)).alias("cyclomatic_complexity"), F.sum(calls).alias("calls")).drop("f")
+    return body.groupBy("id", "f").agg(name.alias("name"), F.min("line_no").alias("start_line"), F.count(F.lit(1)).alias("line_count"), F.sum(F.octet_length("line") + 1).alias("byte_count"), (1 + F.sum(decisions)).alias("cyclomatic_complexity"), F.sum(calls).alias("calls")).drop("f")
 
 
 def call_names(files: DataFrame) -> DataFrame:

@@ -50,3 +50,19 @@ def ordered_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     for c, k in zip(group, keys):
         same = same & F.col(c).eqNullSafe(F.col(k))
     return ranged.withColumn(name, F.row_number().over(w) - 1).join(maybe_broadcast(offset), same, "left").withColumn(name, (F.col(name) + F.coalesce("__before", F.lit(0))).cast("long")).select(*df.columns, name)
+
+
+def ordered_sums(df: DataFrame, order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before each row in ``order``, 0 for the first.
+
+    Rows are cut into ranges of the order and summed inside; each range begins with what the ranges before it hold, of
+    which one number a range comes to the driver.
+    """
+    ranged = materialise(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "sums")
+    starts, at = [], 0
+    for r in sorted(ranged.groupBy("__p").agg(F.sum(value).alias("s")).collect()):
+        starts.append((r["__p"], at))
+        at += r["s"] or 0
+    offset = F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __o long"))  # one row a range
+    w = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0))).join(offset, "__p").withColumn(name, F.col(name) + F.col("__o")).drop("__p", "__o")

@@ -196,3 +196,19 @@ def top_k(d: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFram
     sizes = d.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
     joined = first.join(sizes, F.col(group).eqNullSafe(F.col("__g")))
     return joined.withColumn("truncated", (F.col("rank") == k) & (F.col("__n") > k)).drop("__n", "__g")
+
+
+def ignore_rollups(found: DataFrame, suppressed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the directives do: by selector, by file, and in all.
+
+    found are ``directives``, suppressed the second table of ``suppress``. By selector: directives, active (ok or without a reason),
+    unused (active, but covering nothing that was suppressed), suppressed, files. By file: suppressed. In all: directives by
+    status, unused and suppressed.
+    """
+    used = suppressed.groupBy(F.col("file").alias("f"), F.col("directive_line").alias("line_no")).agg(F.count(F.lit(1)).alias("hits"))
+    active = F.col("status").isin("ok", "missing_reason") & (F.col("kind") != "end")
+    x = found.join(used, (F.col("file") == F.col("f")) & (found["line_no"] == used["line_no"]), "left").select(found["*"], F.coalesce("hits", F.lit(0)).alias("hits"), active.alias("active"))
+    counts = [F.count(F.lit(1)).alias("directives"), F.count_if("active").alias("active"), F.count_if(F.col("active") & (F.col("hits") == 0)).alias("unused"), F.sum("hits").alias("suppressed")]
+    by_selector = x.groupBy("selector").agg(*counts, F.count_distinct("file").alias("files"))
+    by_file = suppressed.groupBy("file").agg(F.count(F.lit(1)).alias("suppressed"))
+    return by_selector, by_file, x.groupBy("status").agg(*counts)

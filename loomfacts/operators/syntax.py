@@ -154,7 +154,7 @@ def _go_declarations(f: _File) -> None:
                 if f.kind[j] == "string":
                     alias = f.tok[j - 1] if j > lo and (f.is_word(j - 1) or f.tok[j - 1] == ".") and f.tok[j - 1] != "import" else ""
                     f.put("import", -1, j, f.tok[j][1:-1], alias, "static")
-                    if hi - lo <= 2:
+                    if f.tok[i + 1] != "(":
                         break
             f.statements.append((i, hi))
             i = hi
@@ -225,9 +225,17 @@ def _go_function(f: _File, i: int) -> int:
         k = f.partner.get(k, k) + 1 if f.tok[k] in "([" or f.tok[k] in ("interface", "struct") else k + 1
     result = f.source(close + 1, k) if close < f.n else ""
     body = k < f.n and f.tok[k] == "{"
-    hi = f.end_of(k, f.n) if body else k
+    hi = f.partner[k] if body and k in f.partner else _next_declaration(f, k) if body else k
     _function(f, name, "method" if owner else "function", at, k if body else hi, hi, parameters, owner, name[:1].isupper(), not owner and bool(_GO_TEST.match(name)), result)
-    return hi + 1 if body else k
+    return hi + 1 if body and k in f.partner else hi
+
+
+def _next_declaration(f: _File, k: int) -> int:
+    """Where a body that is never closed ends: at the next declaration that begins a line."""
+    for j in range(k + 1, f.n):
+        if f.kind[j] == "word" and f.tok[j] in ("func", "type", "package", "import", "var", "const") and (f.at[j] == 0 or f.text[f.at[j] - 1] == "\n"):
+            return j
+    return f.n
 
 
 def _ts_declarations(f: _File) -> None:
@@ -603,6 +611,8 @@ def _flat(f: _File, lo: int, hi: int) -> Iterator[int]:
 
 def file_facts(source: str, lang: str) -> list[tuple]:
     """Rows (kind, fn, line, name, detail, extra, items, num, yes) of one file."""
+    if sys.getrecursionlimit() < MOST_FRAMES:
+        sys.setrecursionlimit(MOST_FRAMES)
     f = _File(source, lang)
     (_go_declarations if f.go else _ts_declarations)(f)
     f.functions.sort(key=lambda g: g["at"])
@@ -682,7 +692,6 @@ def file_facts(source: str, lang: str) -> list[tuple]:
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), MOST_FRAMES))
     for b in batches:
         out: list[tuple] = []
         for i, lang, source in zip(b["id"], b["language"], b["source"]):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core_problems, derived_queries, graph_queries, report_queries, source_queries
+from . import core_problems, derived_queries, fact_queries, graph_queries, report_queries, source_queries
 
-_MODULES = (core_problems, source_queries, report_queries, graph_queries, derived_queries)
+_MODULES = (core_problems, source_queries, fact_queries, report_queries, graph_queries, derived_queries)
 
 
 def queries() -> dict:

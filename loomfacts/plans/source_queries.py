@@ -159,7 +159,7 @@ _NOT = ", ".join(f"'{x}'" for x in X.NOT_CALLS)
 _CALLS_OF = f"len(list_filter(regexp_extract_all(line, {_q(X.CALL)}, 1), lambda x: x NOT IN ({_NOT})))"
 _FUNCTION_METRICS = f"""n1 AS (SELECT *, sum((CASE WHEN language = 'go' THEN {_has(X.GO_FUNC)} ELSE {_has(X.TS_FUNC)} END)::INT) OVER (PARTITION BY id ORDER BY line_no) AS k FROM l WHERE language <> 'unknown'),
 n2 AS (SELECT *, coalesce(sum(regexp_matches(line, '^[}})]')::INT) OVER (PARTITION BY id, k ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM n1 WHERE k > 0),
-fm AS (SELECT id, arg_min(coalesce(nullif({_get(X.GO_FUNC, 1)}, ''), {_TS_NAME}), line_no) AS name, min(line_no) AS start_line, count(*) AS line_count,
+fm AS (SELECT id, arg_min(coalesce(nullif({_get(X.GO_FUNC, 1)}, ''), {_TS_NAME}), line_no) AS name, min(line_no) AS start_line, count(*) AS line_count, sum(strlen(line) + 1)::BIGINT AS byte_count,
 1 + sum(len(regexp_extract_all(line, {_q(X.DECISION)}))) AS cyclomatic_complexity, sum({_CALLS_OF}) AS calls FROM n2 WHERE closed = 0 GROUP BY id, k)"""
 _COMMENT = "regexp_matches(line, '^\\s*(//|\\*|/\\*)')"
 _LITERALS = f"""s0 AS (SELECT DISTINCT id, line_no, regexp_extract_all(line, {_q(X.STRING)}, 1) AS a FROM l WHERE language <> 'unknown' AND NOT {_has(X.GO_IMPORT + "|" + X.TS_IMPORT)} AND NOT {_COMMENT}),

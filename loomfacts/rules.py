@@ -107,3 +107,26 @@ def check(spark: SparkSession, views: FactViews, options: dict[str, RuleOptions]
     d = run_rules(spark, views, options, only)
     code = exit_status(d).first()["exit_code"]
     return (d if most_shown is None else d.orderBy("file", "text_range", "rule_id").limit(most_shown)), code
+
+
+def run_rule_fixtures(spark: SparkSession, fixtures: Iterable[dict], options: dict[str, RuleOptions] | None = None) -> DataFrame:
+    """Runs rules on fixtures: fixture, rule_id, expected, found, status (pass, missing, unexpected).
+
+    A fixture has a name, a rule, files (path to source) and expect, the diagnostics as dicts of file, line and, where
+    it is given, a part of the message (message_contains). A diagnostic that is expected twice has to be found twice.
+    """
+    rows = []
+    for n, x in enumerate(fixtures):
+        files = spark.createDataFrame([(i, f"fixture{n}", p, "", s, "") for i, (p, s) in enumerate(sorted(x["files"].items()))], "id long, repo_id string, relative_path string, language string, source string, content_hash string")
+        rule_of = _RULES[x["rule"]]
+        o = (options or {}).get(x["rule"], RuleOptions())
+        found = [(r["file"], r["line"], r["message"]) for r in rule_of.run(FactViews(files), o).select("file", "line", "message").collect()]  # a fixture is a few files
+        left, missing = list(found), 0
+        for e in x.get("expect", ()):
+            hit = next((f for f in left if f[0] == e["file"] and f[1] == e["line"] and e.get("message_contains", "") in f[2]), None)
+            if hit is None:
+                missing += 1
+            else:
+                left.remove(hit)
+        rows.append((x["name"], x["rule"], len(x.get("expect", ())), len(found), "missing" if missing else "unexpected" if left else "pass"))
+    return spark.createDataFrame(rows, "fixture string, rule_id string, expected int, found int, status string")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_annotation
+from ..operators.ordered import ordered_sums
 
 REPORT_VERSION = "1"
 
@@ -92,15 +94,108 @@ def read_layer(spark: SparkSession, root: str, name: str, version: str, inputs:
     return spark.read.parquet(f"{at}/data"), "hit"
 
 
+def layer_entries(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
+    """The layers below ``root``: name, key, bytes, files, modified (seconds), complete. The listing has a row a layer, no file is read."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = fs_path(root.rstrip("/"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for folder in fs.globStatus(fs_path(f"{root.rstrip('/')}/{name or '*'}/*")) or []:
+        path = folder.getPath()
+        size = fs.getContentSummary(path)
+        rows.append((path.getParent().getName(), path.getName(), size.getLength(), size.getFileCount(), folder.getModificationTime() / 1000.0, fs.exists(fs_path(path, "manifest/_SUCCESS"))))
+    return spark.createDataFrame(rows, "name string, key string, bytes long, files long, modified double, complete boolean")
+
+
+def layer_statistics(entries: DataFrame) -> DataFrame:
+    """Of each name: layers, bytes, files, incomplete (without a manifest) and the latest modification."""
+    return entries.groupBy("name").agg(F.count(F.lit(1)).alias("layers"), F.sum("bytes").alias("bytes"), F.sum("files").alias("files"), F.count_if(~F.col("complete")).alias("incomplete"), F.max("modified").alias("modified"))
+
+
+def delete_layers(spark: SparkSession, root: str, name: str | None = None, keys: list[str] | None = None) -> int:
+    """Deletes the layers of a name (or all), or of the given keys only, and says how many. Nothing outside of ``root`` is touched."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    for r in layer_entries(spark, root, name).collect():
+        if keys is None or r["key"] in keys:
+            path = fs_path(f"{root.rstrip('/')}/{r['name']}/{r['key']}")
+            gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
+class Demand:
+    """Tables on demand, each computed once, with the reads of each recorded; reads may nest ``most_depth`` deep at most."""
+
+    def __init__(self, most_depth: int = 64) -> None:
+        self._how: dict[str, Callable[[Demand], DataFrame]] = {}
+        self._done: dict[str, DataFrame] = {}
+        self._stack: list[str] = []
+        self._reads: set[tuple[str, str]] = set()
+        self.most_depth = most_depth
+
+    def define(self, name: str, how: Callable[[Demand], DataFrame]) -> None:
+        self._how[name] = how
+        self.drop(name)
+
+    def read(self, name: str) -> DataFrame:
+        if self._stack:
+            self._reads.add((self._stack[-1], name))
+        if name in self._stack:
+            raise RecursionError(f"{name} reads itself: {' > '.join([*self._stack, name])}")
+        if len(self._stack) >= self.most_depth:
+            raise RecursionError(f"reads are nested deeper than {self.most_depth}")
+        if name not in self._done:
+            self._stack.append(name)
+            try:
+                self._done[name] = self._how[name](self)
+            finally:
+                self._stack.pop()
+        return self._done[name]
+
+    def reads(self, spark: SparkSession) -> DataFrame:
+        """node, input: what was read for what."""
+        return spark.createDataFrame(sorted(self._reads), "node string, input string")
+
+    def drop(self, name: str) -> list[str]:
+        """Forgets a table and all that were computed from it; their names."""
+        gone, todo = [], [name]
+        while todo:
+            n = todo.pop()
+            if n not in gone:
+                gone.append(n)
+                self._done.pop(n, None)
+                todo += [a for a, b in self._reads if b == n]
+        return sorted(gone)
+
+
+def write_baseline(d: DataFrame, path: str, keys: Sequence[str], ignores: DataFrame | None = None) -> None:
+    """Writes the identities of current diagnostics with their numbers of rows as the baseline, and with it the ignore section.
+
+    Without ``ignores`` the ignore section that is there stays as it is (a refresh); with it, it is replaced.
+    """
+    spark = d.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    d.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min("message").alias("message")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/active")
+    kept = fs_path(f"{path.rstrip('/')}/ignored/_SUCCESS")
+    if ignores is not None:
+        ignores.write.mode("overwrite").parquet(f"{path.rstrip('/')}/ignored")
+    elif not kept.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(kept):
+        d.select(*keys).limit(0).write.mode("overwrite").parquet(f"{path.rstrip('/')}/ignored")
+
+
+def read_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The active and the ignored identities."""
+    return spark.read.parquet(f"{path.rstrip('/')}/active"), spark.read.parquet(f"{path.rstrip('/')}/ignored")
+
+
 def retention(entries: DataFrame, now: float, most_age: float, most_bytes: int) -> DataFrame:
     """Entries (name, bytes, modified) to delete: those older than ``most_age``, then the oldest until the rest fits.
 
     The bytes of the entries deleted for their age still count against the limit.
     """
-    from pyspark.sql import Window
-
     old = F.lit(now) - F.col("modified") > most_age
-    total = F.sum("bytes").over(Window.partitionBy(F.lit(0)))
-    fresh_before = F.coalesce(F.sum(F.when(~old, F.col("bytes")).otherwise(0)).over(Window.partitionBy(F.lit(0)).orderBy("modified", "name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = entries.withColumn("over", total - fresh_before > most_bytes)
-    return x.select("name", "bytes", F.when(old, "age").when(F.col("over"), "size").alias("reason")).where("reason is not null")
+    marked = entries.withColumn("__old", old).withColumn("__fresh", F.when(~old, F.col("bytes")).otherwise(0))
+    total = entries.agg(F.sum("bytes")).first()[0] or 0
+    # Bytes of fresh entries before each one in order of time, by ranges: no task gets all entries.
+    x = ordered_sums(marked, [F.col("modified"), F.col("name")], "__fresh", "__before").withColumn("over", F.lit(total) - F.col("__before") > most_bytes)
+    return x.select("name", "bytes", F.when(F.col("__old"), "age").when(F.col("over"), "size").alias("reason")).where("reason is not null")

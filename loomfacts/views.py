@@ -6,12 +6,13 @@ column pruning reach the scan; nothing is collected.
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.predicates import matches_glob
+from .functions.predicates import glob_regex, matches_glob
 from .operators import extract as X
 from .operators import fixpoint as G
 from .operators import policy as P
@@ -68,6 +69,9 @@ class FileMetrics(View):
 class FunctionMetrics(View):
     key = "name"
 
+    def over_byte_count(self, most: int) -> DataFrame:
+        return self.over("byte_count", most)
+
     def over_line_count(self, most: int) -> DataFrame:
         return self.over("line_count", most)
 
@@ -170,6 +174,14 @@ class Symbols(View):
     definitions = View.get
     definitions_in_file = View.for_file
 
+    def definition(self, key: str) -> DataFrame:
+        """The symbol of a stable key."""
+        return self.stable_key().where(F.col("stable_key") == key)
+
+    def definition_stable_key(self, file: object, name: str) -> DataFrame:
+        """The stable keys of what a name is defined as in a file."""
+        return self.stable_key().where((F.col("id") == F.lit(file)) & (F.col("name") == name)).select("stable_key")
+
 
 class References(View):
     """Calls by name, joined to the symbols of that name: resolved (one), ambiguous (several) or unresolved."""
@@ -184,6 +196,10 @@ class References(View):
     def _status(self, status: str) -> DataFrame:
         return self.df.where(F.col("status") == status)
 
+    def stable_key(self) -> DataFrame:
+        """Each reference with a key of its file, place and name."""
+        return self.df.select("*", F.concat_ws("#", F.col("id").cast("string"), F.col("line_no").cast("string"), F.col("position").cast("string"), "callee").alias("stable_key"))
+
     def resolved(self) -> DataFrame:
         return self._status("resolved")
 
@@ -217,11 +233,49 @@ class Tests(View):
         return self.related.where(F.col("id") == F.lit(file))
 
 
+class Violations(View):
+    """Results of policy queries (scope, position or sink, status, precision, confidence) as views."""
+
+    key = file = "scope"
+
+    def status(self, *values: str) -> DataFrame:
+        """The statuses, or the rows of one of ``values``."""
+        return self.df.where(F.col("status").isin(*values)) if values else self.df.select("status").distinct()
+
+    def precision(self, *values: str) -> DataFrame:
+        return self.df.where(F.col("precision").isin(*values)) if values else self.df.select("precision").distinct()
+
+    def diagnostic(self, rule_id: str, message: str, severity: str = "warn") -> DataFrame:
+        """A diagnostic for each row: rule_id, severity, file (the scope), line (the position), message, stable_fingerprint."""
+        line = F.col("position") if "position" in self.df.columns else F.col("sink")
+        return self.df.select(F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), F.col("scope").cast("string").alias("file"), line.alias("line"), F.lit(message).alias("message"), F.md5(F.concat_ws("\x1f", F.lit(rule_id), F.col("scope").cast("string"), line.cast("string"), F.lit(message))).alias("stable_fingerprint"))
+
+
+class ChangedFileRef:
+    """One changed file as it is held: path, status letter and closed ranges of lines."""
+
+    def __init__(self, path: str, status: str, lines: tuple[tuple[int, int], ...] = ()) -> None:
+        self.path, self.status, self.lines = path, status, lines
+
+    def matches_glob(self, pattern: str) -> bool:
+        return (r := glob_regex(pattern)) is not None and bool(re.search(r, self.path))
+
+    is_added = property(lambda self: self.status == "A")
+    is_modified = property(lambda self: self.status == "M")
+    is_deleted = property(lambda self: self.status == "D")
+    is_renamed = property(lambda self: self.status.startswith("R"))
+
+
 class ChangedFiles(View):
     """Rows (path, status, lo, hi) of a change set; a file without ranges has null lo and hi."""
 
     file = key = "path"
 
+    def ref(self, path: str) -> ChangedFileRef | None:
+        """The changed file of a path; nothing if it has not changed."""
+        rows = self.get(path).select("status", "lo", "hi").collect()  # the ranges of one file
+        return ChangedFileRef(path, rows[0]["status"], tuple(sorted((r["lo"], r["hi"]) for r in rows if r["lo"] is not None))) if rows else None
+
     def is_empty(self) -> bool:
         return self.df.isEmpty()
 
