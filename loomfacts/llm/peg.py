@@ -1,7 +1,9 @@
 """Parsing-expression grammars over tokens, compiled to Python functions with packrat memo tables.
 
 Grammar text: one ``name <- expression`` a rule (a rule goes on until the next ``<-``). The results of every recursive
-rule are kept in a memo table by position, so that the time of a parse is linear in the text. In expressions:
+rule that stands in more than one place are kept in a memo table by position, so that the time of a parse is linear in
+the text: a rule that stands in one place is tried at a position only once for each time the rule around it is. In
+expressions:
 
     'x'   the token of kind x (punctuation or reserved word)     "x"   an identifier token with the text x
     NAME  a token class: one kind of token, or a set given to compile_grammar
@@ -81,10 +83,13 @@ def _read(text: str) -> tuple[dict[str, tuple], set[str]]:
 
 
 def _recursive(rules: dict[str, tuple]) -> set[str]:
-    """The rules that can come back to themselves."""
+    """The rules that can come back to themselves and stand in more than one place."""
+    places: dict[str, int] = {}
+
     def named(e: tuple) -> set[str]:
         kind, x = e
         if kind == "ref":
+            places[x] = places.get(x, 0) + 1
             return {x} & rules.keys()
         return set() if kind in ("lit", "word", "builtin") else set().union(*map(named, x)) if kind in ("seq", "choice") else named(x)
 
@@ -98,7 +103,7 @@ def _recursive(rules: dict[str, tuple]) -> set[str]:
             if m not in seen:
                 seen.add(m)
                 todo += calls[m]
-        if n in seen:
+        if n in seen and places[n] > 1:
             out.add(n)
     return out
 
