@@ -193,7 +193,7 @@ class Facts:
 
     @cached_property
     def local_flow(self) -> DataFrame:
-        """Edges between the places of a function (``key#name``): src, dst, kind (copy, store, load, return), site (null).
+        """Edges between the places of a function (``key#name``): src, dst, kind (copy, store, load, result), site (null).
 
         What is given to a call whose callee is known goes through the callee, not past it.
         """
@@ -201,7 +201,7 @@ class Facts:
         o = self.operations
         at = lambda c: F.concat_ws("#", "function", c)
         copy = o.where("kind in ('assign', 'return', 'store') and size(operands) > 0").select("function", "kind", "target", "site", F.explode("operands").alias("x")).join(given, ["function", "site", "x"], "left_anti")
-        copy = copy.select(at("x").alias("src"), F.when(F.col("kind") == "return", at(F.lit("<return>"))).otherwise(at("target")).alias("dst"), F.when(F.col("kind") == "assign", "copy").otherwise(F.col("kind")).alias("kind"))
+        copy = copy.select(at("x").alias("src"), F.when(F.col("kind") == "return", at(F.lit("<return>"))).otherwise(at("target")).alias("dst"), F.when(F.col("kind") == "assign", "copy").when(F.col("kind") == "return", "result").otherwise(F.col("kind")).alias("kind"))
         load = o.where("kind = 'load'").select(at(F.get("operands", F.lit(0))).alias("src"), at("target").alias("dst"), F.lit("load").alias("kind"))
         return copy.unionByName(load).where("src <> dst").distinct().withColumn("site", F.lit(None).cast("string"))
 
