@@ -1,13 +1,14 @@
 """Control-flow facts of many small graphs at once: reachability, dominators, post-dominators, control dependence.
 
-A graph is the edges of one function. Its blocks are few and the analyses need them together, so each function is one
-group of ``applyInPandas``; functions spread over the cluster. A size guard leaves out functions whose relation could be
+A graph is the edges of one function. Its blocks are few and the analyses need them together, so functions are spread over
+the cluster and each is solved where its edges lie. A size guard leaves out functions whose relation could be
 too large and reports each by a row with the status budget_exceeded instead.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ def _immediate(doms: dict) -> dict:
     return {n: max((d for d in ds if d != n), key=lambda d: len(doms[d])) for n, ds in doms.items() if len(ds) > 1}
 
 
-def _one(edges: pd.DataFrame, entry: object, view: str) -> list[tuple]:
+def _one(edges: dict[str, list], entry: object, view: str) -> list[tuple]:
     nodes = sorted(set(edges["src"]) | set(edges["dst"]))
     fwd, back = defaultdict(set), defaultdict(set)
     for a, b in zip(edges["src"], edges["dst"]):
@@ -118,9 +119,24 @@ def control_flow(edges: DataFrame, entries: DataFrame, view: str, most_pairs: in
         none = F.lit(None).cast(kinds["src"])
         large = blocks.where(wide).select("function", none.alias("block"), none.alias("other"), F.lit(None).cast("boolean").alias("immediate"), F.lit("budget_exceeded").alias("status"))
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], *r, "present") for r in _one(g, g["entry"].iloc[0], view)]
-        return pd.DataFrame(rows, columns=["function", "block", "other", "immediate", "status"])
-
-    out = small.groupBy("function").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, entry, edges = None, None, {"src": [], "dst": []}
+
+        def rows() -> list[tuple]:
+            return [(now, *r, "present") for r in _one(edges, entry, view)] if edges["src"] else []
+
+        for b in batches:
+            done: list[tuple] = []
+            for f, a, c, e in zip(b["function"], b["src"], b["dst"], b["entry"]):
+                if f != now:
+                    done += rows()
+                    now, entry, edges = f, e, {"src": [], "dst": []}
+                edges["src"].append(a)
+                edges["dst"].append(c)
+            if done:
+                yield pd.DataFrame(done, columns=["function", "block", "other", "immediate", "status"])
+        yield pd.DataFrame(rows(), columns=["function", "block", "other", "immediate", "status"])
+
+    # Functions come one after the other, each whole, so that a task works on many small ones without a group for each.
+    out = small.select("function", "src", "dst", "entry").repartition("function").sortWithinPartitions("function").mapInPandas(run, schema)
     return out if large is None else out.unionByName(large)
